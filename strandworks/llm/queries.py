@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.llm.canonical import map_to_canonical
 from strandworks.llm.components import connected_groups
+from strandworks.llm.language import label_languages
+from strandworks.llm.leaks import find_leaks
+from strandworks.llm.mixing import mix_sources
 from strandworks.llm.representative import Preference, claims_of, latent_truth, survivors, true_values, usable_number
+from strandworks.llm.splitting import split_texts
 from strandworks.llm.structural import canonical_triples, collapse_copies, copies_of
 from strandworks.runtime import table, trim_all
 
@@ -140,3 +145,112 @@ g AS (SELECT a, r, b, min(h) AS first_row, count(*) AS n_copies FROM k GROUP BY
 """
 SQL["p3_found"] = _P3_RECORDS + "SELECT g.first_row, k.h AS copy_row FROM k JOIN g USING (a, r, b) WHERE k.h <> g.first_row"
 SQL["p3_records"] = _P3_RECORDS + "SELECT first_row, a AS source_key, r AS relation_key, b AS target_key, n_copies FROM g"
+
+# ---- 4: splitting oversized items at natural boundaries
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_texts(table(spark, sf_dir, "text_units").select("id", "text"), "id", "text", 2400, 200)
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text units that had to be cut."""
+    return _pieces(spark, sf_dir).filter("piece_no = 2").select("id")
+
+
+SQL["p4_found"] = "SELECT id FROM text_units WHERE length(text) > 2400"
+
+
+@query
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces with their place, overlap and the kind of boundary they end at."""
+    return _pieces(spark, sf_dir)
+
+
+# ---- 5: mapping free-entered values to a canonical list
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "relation_map").select("relation", "gloss")
+
+
+def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = table(spark, sf_dir, "final_relationships").select(F.struct(F.lit("final_relationships").alias("table_name"), F.col("human_readable_id").alias("row_no")).alias("at"), "relation")
+    pred = table(spark, sf_dir, "predictions").select(F.struct(F.lit("predictions").alias("table_name"), F.col("row_no").alias("row_no")).alias("at"), "relation")
+    return rel.unionByName(pred)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every freely entered relation with the canonical one meant, or the empty string."""
+    mapped = map_to_canonical(_entered(spark, sf_dir), "at", "relation", _relations(spark, sf_dir))
+    return mapped.select("at.table_name", "at.row_no", "canonical")
+
+
+@query
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that match no canonical relation with their number of rows."""
+    mapped = map_to_canonical(_entered(spark, sf_dir), "at", "relation", _relations(spark, sf_dir))
+    return mapped.filter("canonical = ''").groupBy(F.col("relation").alias("value")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# ---- 7: evaluation texts leaking into training text
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "question_and_explanation")
+    return find_leaks(docs, "doc_id", "text", items, "item_id", "question_and_explanation")
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which a document holds at least eight consecutive words that stand in no other item."""
+    return _leaks(spark, sf_dir).filter("own_words >= 8").select("item_id", "doc_id").distinct()
+
+
+@query
+def p7_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of twelve words and more in which single words were replaced."""
+    return _leaks(spark, sf_dir).filter("overlap_words >= 12 AND substitutions > 0").select("item_id", "doc_id", "overlap_words", "substitutions", "exact_words")
+
+
+# ---- 8: mixing sources to target weights
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of copies of every document in the mix."""
+    return _mix(spark, sf_dir).copies
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, sf_dir).shares
+
+
+# ---- 9: missing or wrong document language labels
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of documents whose label is missing or wrong or that change language."""
+    seg = _languages(spark, sf_dir)
+    return seg.filter((F.col("segments") > 1) | F.col("label_language").isNull() | (F.col("label_language") != F.col("lang"))).select("doc_id", "segment_no", "lang")
+
+
+@query
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and of each of its segments."""
+    return _languages(spark, sf_dir).select("doc_id", "doc_lang", F.round("doc_confidence", 6).alias("doc_confidence"), "segment_no", "lang", F.round("confidence", 6).alias("confidence"), "sentences")
