@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandworks.plans import packed_queries
+from strandworks.plans import kg_queries, packed_queries
 
-MODULES = [packed_queries]
+MODULES = [packed_queries, kg_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_queries.p6_found(spark, sf_dir)
+    return kg_queries.u1_merged_exact(spark, sf_dir)
