@@ -21,7 +21,9 @@ def mentions(entities: DataFrame, units: DataFrame, longest: int = 6) -> DataFra
     text is compared with a title it does not hold. ``pos`` is the first place, ``token_pos`` the
     number of words before it, capped.
     """
-    e = entities.select("title", F.array_join(_tokens(F.col("title")), " ").alias("k")).filter("k <> ''").distinct()
+    e = entities.select("title", _tokens(F.col("title")).alias("w")).filter(F.size("w").between(1, longest))
+    longest = e.agg(F.max(F.size("w"))).first()[0] or 1
+    e = e.select("title", F.array_join("w", " ").alias("k")).distinct()
     t = units.select(F.col("id").alias("snippet_id"), F.col("text")).filter("text is not null")
     w = t.select("snippet_id", _tokens(F.col("text")).alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))

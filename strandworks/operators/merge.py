@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions.text import entity_key, norm_relation, norm_text, split_ids
-from strandworks.runtime import skew_lookup, trim_all
+from strandworks.runtime import Workspace, skew_lookup, trim_all
 
 
 def number(c: Column) -> Column:
@@ -120,8 +120,10 @@ def canonical_names(names: DataFrame, threshold: float = 0.90) -> DataFrame:
 
 def fuzzy_collapse(df: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Collapse on canonical names. May leave a triple whose ends became one name."""
+    work = Workspace(df.sparkSession, "fuzzy")
+    df = work.cut(df)  # read several times below
     ends = df.select(F.explode(F.array("source", "target")).alias("n"))
-    canon = canonical_names(ends, threshold)
+    canon = work.cut(canonical_names(ends, threshold))
     t = skew_lookup(df, "source", canon.select(F.col("name").alias("_sn"), F.col("canonical").alias("_s")), "_sn")
     t = skew_lookup(t, "target", canon.select(F.col("name").alias("_tn"), F.col("canonical").alias("_t")), "_tn")
     t = t.withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")}).drop("_s", "_t", "n_rows")
@@ -188,8 +190,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "human_readable_id") -
     Rows are range-partitioned by the order; each partition's rank is offset by the sizes of the
     ones before it (one number per partition is all that is gathered).
     """
-    from strandworks.runtime import Workspace
-
     work = Workspace(df.sparkSession, "numbered")
     t = work.cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     sizes = t.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

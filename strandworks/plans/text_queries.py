@@ -121,7 +121,7 @@ def relation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.regexp_extract(value, r'^\{"v":(.*)\}$', 1) == "", F.lit("[]")).otherwise(F.regexp_extract(value, r'^\{"v":(.*)\}$', 1))
     pair = F.concat(F.regexp_extract(F.to_json(F.struct(F.concat(F.lit(" "), F.upper("head")).alias("k"))), r'^\{"k":(.*)\}$', 1), F.lit(":"), value)
     out = g.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("x"))
-    return out.select("id", F.when(F.length("id") % 7 == 6, F.concat(F.lit("{broken"), "x")).otherwise(F.concat(F.lit("{"), "x", F.lit("}"))).alias("relations_json"))
+    return out.select("id", F.when(F.right("id", F.lit(3)).cast("int") % 7 == 6, F.concat(F.lit("{broken"), "x")).otherwise(F.concat(F.lit("{"), "x", F.lit("}"))).alias("relations_json"))
 
 
 @query
@@ -132,7 +132,7 @@ def r1_relation_maps(spark, sf_dir):
 
 
 SQL["r1_relation_maps"] = r"""WITH g AS (SELECT id, head, list_sort(list_distinct(list(relation) FILTER (relation IS NOT NULL))) AS rels FROM predictions WHERE head IS NOT NULL GROUP BY 1, 2),
-c AS (SELECT id, head, lower(trim(head)) AS lh, CASE length(head) % 4 WHEN 3 THEN [] WHEN 0 THEN rels[1:1] ELSE rels END AS rels FROM g WHERE length(id) % 7 <> 6),
+c AS (SELECT id, head, lower(trim(head)) AS lh, CASE length(head) % 4 WHEN 3 THEN [] WHEN 0 THEN rels[1:1] ELSE rels END AS rels FROM g WHERE CAST(right(id, 3) AS INT) % 7 <> 6),
 u AS (SELECT id, lh, unnest(rels) AS r FROM c),
 x AS (SELECT DISTINCT id, lh, lower(regexp_replace(r, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')) AS r FROM u), y AS (SELECT id, lh, list_sort(list(r)) AS rels FROM x WHERE r IN (SELECT relation FROM relation_map) GROUP BY 1, 2)
 SELECT id, lh AS head, array_to_string(rels, ',') AS relations FROM y"""
@@ -153,7 +153,7 @@ SQL["r2_relation_rows"] = SQL["r1_relation_maps"].replace("SELECT id, lh AS head
 def n11_salvaged_objects(spark, sf_dir):
     """Rightmost object of messy replies."""
     t = relation_json(spark, sf_dir)
-    messy = F.when(F.length("id") % 2 == 0, F.concat(F.lit("Sure: {not it}\n```json\n"), "relations_json", F.lit("\n```\nDone."))).otherwise(F.replace("relations_json", F.lit('"'), F.lit("'")))
+    messy = F.when(F.right("id", F.lit(3)).cast("int") % 2 == 0, F.concat(F.lit("Sure: {not it}\n```json\n"), "relations_json", F.lit("\n```\nDone."))).otherwise(F.replace("relations_json", F.lit('"'), F.lit("'")))
     return t.select("id", P.salvaged()(messy).alias("object")).filter("object is not null")
 
 
@@ -164,7 +164,7 @@ def n12_first_objects(spark, sf_dir):
     return t.select("id", P.first_json_object(F.concat(F.lit("Here:\n```json\n"), "relations_json", F.lit("\n```"))).isNotNull().alias("found"))
 
 
-SQL["n12_first_objects"] = "SELECT DISTINCT id, length(id) % 7 <> 6 AS found FROM predictions WHERE head IS NOT NULL"
+SQL["n12_first_objects"] = "SELECT DISTINCT id, CAST(right(id, 3) AS INT) % 7 <> 6 AS found FROM predictions WHERE head IS NOT NULL"
 
 
 @query
@@ -185,7 +185,7 @@ def y2_lenient_json(spark, sf_dir):
     return relation_json(spark, sf_dir).select("id", F.try_parse_json("relations_json").isNotNull().alias("parses"))
 
 
-SQL["y2_lenient_json"] = "SELECT DISTINCT id, length(id) % 7 <> 6 AS parses FROM predictions WHERE head IS NOT NULL"
+SQL["y2_lenient_json"] = "SELECT DISTINCT id, CAST(right(id, 3) AS INT) % 7 <> 6 AS parses FROM predictions WHERE head IS NOT NULL"
 
 
 # ---- predictions

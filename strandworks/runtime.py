@@ -19,6 +19,9 @@ WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 #: Keys that hold more than this share of the rows are heavy; there are at most ``1 / HEAVY_SHARE`` of them.
 HEAVY_SHARE = 0.002
 
+#: A side is broadcast only if it was counted and measured to stay below both bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -95,14 +98,33 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
     return counts.join(F.broadcast(total), F.col("_n") > F.col("_least")).select(key)
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table was measured to be within the broadcast bounds: its rows are counted, its texts' bytes summed."""
+    width = F.lit(0).cast("bigint")
+    for f in df.schema:
+        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return r.n <= rows and r.b <= size
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores before a costly Python pass, where the input has fewer partitions than these."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(2 * cores)
+
+
 def skew_lookup(big: DataFrame, key: str, small: DataFrame, small_key: str, how: str = "left", share: float = HEAVY_SHARE) -> DataFrame:
     """Joins ``big`` to ``small`` (unique in ``small_key``) without gathering a hot key in one task.
 
-    Heavy keys are found by a pre-aggregated count; their few entries are broadcast and their
-    rows stay where they are, all others are shuffled. ``how`` is ``left`` or ``inner``. Both
-    inputs are read twice, so pass written tables or scans.
+    A small side that was measured to fit is broadcast whole. Beyond that bound, heavy keys are
+    found by a pre-aggregated count; their few entries are broadcast and their rows stay where
+    they are, all others are shuffled. ``how`` is ``left`` or ``inner``. Both inputs are read
+    twice, so pass written tables or scans.
     """
     spark = big.sparkSession
+    if fits_broadcast(small):
+        return big.join(F.broadcast(small), big[key] == small[small_key], how).drop(small[small_key])
     hot = [r[0] for r in collect_bounded(heavy_keys(big.filter(F.col(key).isNotNull()), key, share), int(1 / share) + 1, "heavy keys")]
     if not hot:
         return big.join(small, big[key] == small[small_key], how).drop(small[small_key])
