@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.runtime import spread
+
 NGRAM = 4
 SWITCH = 0.25
 #: Letters from which on a sentence counts fully.
@@ -311,5 +313,5 @@ def label_languages(docs: DataFrame, key: str, text: str, label: str, sample: in
                 yield pd.DataFrame(rows, columns=["k", "label_language", "segment_no", "lang", "sentences", "confidence", "segments", "doc_lang", "doc_confidence"])
 
     base = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).filter(F.col("t").rlike(r"[^\s\p{Z}\x00-\x20]"))
-    out = base.mapInPandas(run, f"k {kind}, label_language string, segment_no int, lang string, sentences int, confidence double, segments int, doc_lang string, doc_confidence double")
+    out = spread(base).mapInPandas(run, f"k {kind}, label_language string, segment_no int, lang string, sentences int, confidence double, segments int, doc_lang string, doc_confidence double")
     return out.withColumnRenamed("k", key)

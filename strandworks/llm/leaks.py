@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.runtime import collect_bounded
+from strandworks.runtime import collect_bounded, spread
 
 SPAN = 8
 #: Positions that count, per mask.
@@ -212,10 +212,11 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
         room -= n
     covers: dict[int, list[tuple[int, int]]] = {}
     for b in blocks:
-        found = q.mapInPandas(_stretches(Block(b)), "key bigint, s int, e int")
+        found = spread(q).mapInPandas(_stretches(Block(b)), "key bigint, s int, e int")
         for r in collect_bounded(found, 10 * block_words, "shared stretches"):
             covers.setdefault(r.key, []).append((r.s, r.e))
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null and text <> ''")
+    base = spread(base)
     kind = base.schema["key"].dataType.simpleString()
     out = None
     for b in blocks:

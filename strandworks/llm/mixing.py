@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.runtime import Workspace, collect_bounded
+from strandworks.runtime import Workspace, collect_bounded, spread
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -120,7 +120,8 @@ def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: Data
     """``targets``: columns source, target_share, max_repeats."""
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
-    sized = work.cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), count_tokens(tokenizer)(F.col(text).cast("string")).alias("tokens")))
+    read = spread(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")))
+    sized = work.cut(read.select("key", "source", count_tokens(tokenizer)("text").alias("tokens")))
     goals = {r.source: (r.target_share, r.max_repeats) for r in collect_bounded(targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats > 0"), max_sources, "targets")}
     names = spark.createDataFrame([(s,) for s in goals], "s string")
     held = sized.filter("tokens > 0").join(F.broadcast(names), F.col("source") == F.col("s"), "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))

@@ -8,7 +8,8 @@ first, as long as the merged body plus the overlap fits the limit. What stays se
 separated by the strongest boundaries. Every piece but the first then repeats the end of the
 piece before, from a natural boundary where one lies within the overlap.
 
-Texts within the limit never leave the JVM. The pass is narrow: no shuffle.
+Texts within the limit never leave the JVM. The pass is narrow: no shuffle, unless the input has
+fewer partitions than there are cores.
 
 Defined results: null and empty texts give no piece; a text of at most ``limit`` characters,
 blank or not, is one piece; lengths count code points; dropping the first ``overlap``
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.runtime import spread
+
 KINDS = ("character", "word", "clause", "sentence", "line", "paragraph")
 _GAP = re.compile(r"[。！？…]+[\"'”’」』）)\]]*\s*|[，；、：]\s*|\s+")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*$")
@@ -140,5 +143,5 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 2400, overlap:
     base = df.select(F.col(key), F.col(text).cast("string").alias("_t")).filter("_t is not null and _t <> ''")
     n = F.char_length("_t")
     whole = base.filter(n <= limit).select(key, F.lit(1).alias("piece_no"), F.lit(0).alias("start"), n.alias("stop"), F.lit(0).alias("overlap"), F.lit(KINDS[5]).alias("boundary"), F.col("_t").alias("piece"))
-    cut = base.filter(n > limit).select(key, F.explode(_splitter(limit, overlap)("_t")).alias("p")).select(key, "p.*")
+    cut = spread(base.filter(n > limit)).select(key, F.explode(_splitter(limit, overlap)("_t")).alias("p")).select(key, "p.*")
     return whole.unionByName(cut)
