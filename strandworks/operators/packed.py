@@ -18,6 +18,8 @@ the input other than the key and the fields are not read.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -111,8 +113,9 @@ def _step(text: str, i: int) -> tuple[int, str | None]:
 def segment(text: str | None, matches: Sequence[tuple[int, int, str]] = ()) -> list[str]:
     """Values of one packed field in order.
 
-    Without a known value the grammar leaves one cover only. Else the best cover is chosen
-    from the right: ``best[i]`` is (characters in known values, minus pieces) of the rest.
+    Without a known value the grammar leaves one cover only. Else the best cover is found from
+    the left over the places that pieces can end at: ``best[i]`` is (characters in known values,
+    minus pieces) of the text before ``i``.
     """
     if not text:
         return []
@@ -130,27 +133,36 @@ def segment(text: str | None, matches: Sequence[tuple[int, int, str]] = ()) -> l
             q = text[start - 1]
             if text[end] == q and q in QUOTES or _CLOSE.get(q) == text[end]:
                 known.setdefault(start - 1, []).append((end + 1, v))
+    starts = sorted(known)
     n = len(text)
-    best: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-    move: list[tuple[int, str | None]] = [(n, None)] * (n + 1)
-    for i in range(n - 1, -1, -1):
+    best: dict[int, tuple[int, int]] = {0: (0, 0)}
+    back: dict[int, tuple[int, str | None]] = {}
+    todo = [0]
+    while todo:
+        i = heapq.heappop(todo)
+        if i == n:
+            break
         end, v = _step(text, i)
-        stop = min((s for s in known if i < s < end and v is not None and text[i] not in _QUOTED), default=None)
-        gain, pieces = best[end]
-        best[i], move[i] = (gain, pieces - (v is not None)), (end, v)
-        if stop is not None and best[stop] > best[i]:  # a known value begins inside the run
-            head = text[i:stop].strip(_EDGE) or None
-            best[i], move[i] = (best[stop][0], best[stop][1] - (head is not None)), (stop, head)
-        for end, v in known.get(i, ()):
-            score = (best[end][0] + len(v), best[end][1] - 1)
-            if score >= best[i]:
-                best[i], move[i] = score, (end, v)
-    out, i = [], 0
-    while i < n:
-        i, v = move[i]
+        moves = [(end, v, 0)]
+        if v is not None and text[i] not in _QUOTED:
+            k = bisect.bisect_right(starts, i)
+            if k < len(starts) and starts[k] < end:  # a known value begins inside the run
+                moves.append((starts[k], text[i : starts[k]].strip(_EDGE) or None, 0))
+        moves += [(e, w, len(w)) for e, w in known.get(i, ())]
+        gain, pieces = best[i]
+        for e, w, g in moves:
+            score = (gain + g, pieces - (w is not None))
+            if e not in best:
+                heapq.heappush(todo, e)
+            elif score < best[e] or score == best[e] and not g:
+                continue
+            best[e], back[e] = score, (i, w)
+    out, i = [], n
+    while i:
+        i, v = back[i]
         if v is not None:
             out.append(v)
-    return out
+    return out[::-1]
 
 
 def _automaton_of(key: str, values: Sequence[str]):
