@@ -247,7 +247,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents whose label is missing or wrong or that change language."""
     seg = _languages(spark, sf_dir)
-    return seg.filter((F.col("segments") > 1) | F.col("label_language").isNull() | (F.col("label_language") != F.col("lang"))).select("doc_id", "segment_no", "lang")
+    return seg.filter("lang <> 'und'").filter((F.col("segments") > 1) | F.col("label_language").isNull() | (F.col("label_language") != F.col("lang"))).select("doc_id", "segment_no", "lang")
 
 
 @query

@@ -12,7 +12,8 @@ Two parts share the claims table:
 The E and M steps depend on a value only through which sources state it and which cover its
 field without stating it. Values are therefore first aggregated by that pattern, and the
 iterations run over patterns, not over rows; what reaches the driver per step is one row per
-source (bounded by ``max_sources``).
+source (bounded by ``max_sources``). Quality is learnt from all fields that two or more sources
+cover; a field covered by one source says nothing of it and is only judged by the result.
 
 Defined results: a value that is null or unusable is no claim; a row without a source counts
 as the source ``(none)``; repeated rows claim once; ties go to the smallest row number; where
@@ -88,8 +89,9 @@ def latent_truth(claims: DataFrame, iterations: int = 8, prior: float = 0.5, sen
         odds = F.lit(math.log(prior / (1 - prior))) + sum_of("stating", "s1") + sum_of("silent", "n1") - sum_of("stating", "s0") - sum_of("silent", "n0")
         return t.withColumn("truth", 1 / (1 + F.exp(-odds))).drop("s1", "s0", "n1", "n0")
 
+    shared = work.cut(patterns.filter(F.size("stating") + F.size("silent") >= 2))
     for _ in range(iterations if names else 0):
-        e = posterior(patterns)
+        e = posterior(shared)
         seen = e.select(F.explode(F.concat(F.transform("stating", lambda s: F.struct(s.alias("source"), F.lit(True).alias("said"))), F.transform("silent", lambda s: F.struct(s.alias("source"), F.lit(False).alias("said"))))).alias("o"), "n", "truth")
         m = seen.groupBy("o.source").agg(F.sum(F.when(F.col("o.said"), F.col("n") * F.col("truth")).otherwise(0.0)).alias("tp"), F.sum(F.col("n") * F.col("truth")).alias("t"), F.sum(F.when(~F.col("o.said"), F.col("n") * (1 - F.col("truth"))).otherwise(0.0)).alias("tn"), F.sum(F.col("n") * (1 - F.col("truth"))).alias("f"))
         moved = 0.0

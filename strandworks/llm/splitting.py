@@ -19,6 +19,7 @@ on its own; other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import unicodedata
@@ -109,8 +110,6 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     marks = dict(cuts)
     spots = [e for e, _ in cuts]
     pieces, i, before = [], 0, 0
-    import bisect
-
     while i < n:
         lap = 0
         if i:
