@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kg_queries.u1_merged_exact(spark, sf_dir)
+    return kg_queries.a1_collapsed_triples(spark, sf_dir)
