@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandworks.runtime import WHITE, Workspace, collect_bounded, skew_lookup
 
-COVERAGE = 0.5
+COVERAGE = 0.47
 #: Certainty of a word found only by cutting a longer one in two.
 CUT_WORD = 0.8
 #: Words that limit or mark a statement without changing which one it is.
@@ -45,6 +45,8 @@ LIGHT = frozenset("act acts give gives get gets lead leads make makes take takes
 _LIGHT_WEIGHT, _GRAMMAR_WEIGHT, _UNKNOWN = 0.3, 0.02, 0.8
 _SUFFIXES = ("ations", "ation", "itions", "ition", "atory", "ically", "ating", "ates", "ated", "ally", "ings", "ing", "ively", "ive", "ivity", "ity", "ors", "or", "iers", "ier", "ies", "ied", "ers", "er", "ments", "ment", "ions", "ion", "ates", "ate", "als", "al", "ages", "age", "ars", "ar", "ed", "es", "ly", "s", "e", "y")
 
+_ENDINGS = ("s", "es", "ed", "ing", "er", "ers", "ion", "ation", "age", "ive", "al", "ment")
+
 
 def stem(word: str) -> str:
     for suffix in _SUFFIXES:
@@ -128,6 +130,19 @@ class BKTree:
         return sorted(found)
 
 
+class LengthTrees:
+    """One BK-tree per word length: words whose lengths differ by more than the threshold are further apart than it."""
+
+    def __init__(self, words) -> None:
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        self.trees = {n: BKTree(ws) for n, ws in by.items()}
+
+    def within(self, word: str, threshold: int) -> list[tuple[int, str]]:
+        return sorted(x for n in range(len(word) - threshold, len(word) + threshold + 1) if n in self.trees for x in self.trees[n].within(word, threshold))
+
+
 def name_threshold(length: int) -> int:
     return 1 if length <= 6 else 2 if length <= 11 else 3
 
@@ -156,6 +171,10 @@ class Canon:
                     forms.setdefault(w, set()).add(stem(w))
                     forms.setdefault(stem(w), set()).add(stem(w))
             self.docs.append((name, {stem(w) for w in every if w not in GRAMMAR}, {w for w in every if w in GRAMMAR}))
+        for root in {x for known in forms.values() for x in known}:
+            for ending in _ENDINGS:  # inflected forms, so that a slip in one of them is found
+                if len(root) + len(ending) >= 7 and root + ending not in forms:
+                    forms[root + ending] = {root}
         frequency: dict[str, int] = {}
         for _, stems, _ in self.docs:
             for s in stems:
@@ -164,7 +183,7 @@ class Canon:
         self.idf = {s: math.log(1 + n / f) for s, f in frequency.items()}
         self.most = math.log(1 + n)
         self.forms = forms
-        self.name_tree, self.word_tree = BKTree(self.names), BKTree(sorted(forms))
+        self.name_tree, self.word_tree = LengthTrees(self.names), LengthTrees(sorted(forms))
         self.longest = max(map(len, self.names), default=0)
         self._stems: dict[str, dict[str, float]] = {}
 
@@ -215,8 +234,10 @@ class Canon:
         if self.stems_near(word) or len(word) < 7:
             return [word]
         best = None
-        for i in range(3, len(word) - 2):
+        for i in range(1, len(word)):
             a, b = word[:i], word[i:]
+            if i < 3 and a not in GRAMMAR or len(b) < 3 and b not in GRAMMAR:
+                continue
             x, y = self.stems_near(a), self.stems_near(b)
             a_known, b_known = bool(x) or a in GRAMMAR, bool(y) or b in GRAMMAR
             if a_known and b_known and (x or y):

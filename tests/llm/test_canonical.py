@@ -1,6 +1,6 @@
 import random
 
-from strandworks.llm.canonical import BKTree, Canon, distance, map_to_canonical
+from strandworks.llm.canonical import BKTree, Canon, LengthTrees, distance, map_to_canonical
 
 REF = [("sends_axons_to", "axons leave the source and end in the target; an axonal projection"), ("eases", "the source relieves symptoms of the condition"), ("worsens", "the source aggravates the severity of the condition"), ("borders_on", "the two structures are adjacent and touch along a common edge"), ("same_as", "both names stand for one and the same thing")]
 
@@ -13,8 +13,7 @@ def test_distance_is_a_metric():
         for b in words:
             assert distance(a, b) == distance(b, a) and (distance(a, b) == 0) == (a == b)
             assert all(distance(a, c) <= distance(a, b) + distance(b, c) for c in words[:12])
-    tree = BKTree(words)
-    for q in words:
+    for q, tree in [(q, tree) for tree in (BKTree(words), LengthTrees(words)) for q in words]:
         for t in range(4):
             assert tree.within(q, t) == sorted((distance(q, w), w) for w in set(words) if distance(q, w) <= t)
 
