@@ -108,10 +108,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores before a costly Python pass, where the input has fewer partitions than these."""
+    """Rows spread over all cores before a costly Python pass, where the scan has fewer partitions than these.
+
+    Plans with a shuffle are left as they are: their partitions follow from it, and asking for
+    their number would run it.
+    """
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= cores else df.repartition(2 * cores)
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def skew_lookup(big: DataFrame, key: str, small: DataFrame, small_key: str, how: str = "left", share: float = HEAVY_SHARE) -> DataFrame:
