@@ -211,8 +211,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
         blocks[-1].append(r)
         room -= n
     covers: dict[int, list[tuple[int, int]]] = {}
+    cores = docs.sparkSession.sparkContext.defaultParallelism
     for b in blocks:
-        found = spread(q).mapInPandas(_stretches(Block(b)), "key bigint, s int, e int")
+        found = q.repartition(cores, "key").mapInPandas(_stretches(Block(b)), "key bigint, s int, e int")
         for r in collect_bounded(found, 10 * block_words, "shared stretches"):
             covers.setdefault(r.key, []).append((r.s, r.e))
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null and text <> ''")
