@@ -57,8 +57,30 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _stock(windows: int, shared: list[tuple[int, int]]) -> np.ndarray:
+    """Windows that need no index, as they lie in a stretch that stands in another item.
+
+    A run that is evidence reaches beyond every such stretch, so one of its windows crosses the
+    stretch's edge and hits, unless a neighbouring stretch overlaps that far; stretches with such
+    a neighbour stay indexed.
+    """
+    skip = np.zeros(windows, dtype=bool)
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(shared, key=lambda s: (s[0], -s[1])):
+        if not spans or b > spans[-1][1]:
+            spans.append((a, b))
+    for i, (a, b) in enumerate(spans):
+        close = (i and spans[i - 1][1] - a >= SPAN - 1) or (i + 1 < len(spans) and b - spans[i + 1][0] >= SPAN - 1)
+        if not close:
+            skip[a : max(a, b - SPAN + 1)] = True
+    return skip
+
+
 class Block:
-    """A block of items, indexed by the spaced hashes of its windows."""
+    """A block of items, indexed by the spaced hashes of its windows.
+
+    ``shared``: per item the stretches that also stand in another one; windows inside them are left out.
+    """
 
     def __init__(self, items: list[tuple[int, str]], shared: dict[int, list[tuple[int, int]]] | None = None) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -66,10 +88,11 @@ class Block:
         for key, text in items:
             self.items.append((key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int64)))
         hashes, where = [], []
-        for k, (_, ids) in enumerate(self.items):
+        for k, (key, ids) in enumerate(self.items):
+            at = np.flatnonzero(~_stock(max(len(ids) - SPAN + 1, 0), (shared or {}).get(key, [])))
             for hs in self.window_hashes(ids):
-                hashes.append(hs)
-                where.append(np.stack([np.full(len(hs), k), np.arange(len(hs))], axis=1))
+                hashes.append(hs[at])
+                where.append(np.stack([np.full(len(at), k), at], axis=1))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.where = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
         order = np.argsort(self.hashes, kind="stable")
@@ -195,7 +218,8 @@ def _search(block: Block, rows: int = 256):
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_words: int = 2_000_000, max_items: int = 1_000_000) -> DataFrame:
-    """``(item_id, key, own_words, exact_words, overlap_words, substitutions, at_word)`` per text and item with a hit.
+    """``(item_id, key, own_words, exact_words, overlap_words, substitutions, at_word)`` per text and item with a hit
+    outside of wording that stands in several items.
 
     ``own_words``: the longest exact run of at least ``SPAN`` words that stands in no other item, else 0.
     """
