@@ -79,17 +79,18 @@ def _stock(windows: int, shared: list[tuple[int, int]]) -> np.ndarray:
 class Block:
     """A block of items, indexed by the spaced hashes of its windows.
 
-    ``shared``: per item the stretches that also stand in another one; windows inside them are left out.
+    ``shared``: per item the stretches that also stand in another one; windows inside them are left
+    out unless ``whole``.
     """
 
-    def __init__(self, items: list[tuple[int, str]], shared: dict[int, list[tuple[int, int]]] | None = None) -> None:
+    def __init__(self, items: list[tuple[int, str]], shared: dict[int, list[tuple[int, int]]] | None = None, whole: bool = False) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for key, text in items:
             self.items.append((key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int64)))
         hashes, where = [], []
         for k, (key, ids) in enumerate(self.items):
-            at = np.flatnonzero(~_stock(max(len(ids) - SPAN + 1, 0), (shared or {}).get(key, [])))
+            at = np.flatnonzero(~_stock(max(len(ids) - SPAN + 1, 0), [] if whole else (shared or {}).get(key, [])))
             for hs in self.window_hashes(ids):
                 hashes.append(hs[at])
                 where.append(np.stack([np.full(len(at), k), at], axis=1))
@@ -217,11 +218,12 @@ def _search(block: Block, rows: int = 256):
     return run
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_words: int = 2_000_000, max_items: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_words: int = 2_000_000, max_items: int = 1_000_000, altered: bool = False) -> DataFrame:
     """``(item_id, key, own_words, exact_words, overlap_words, substitutions, at_word)`` per text and item with a hit
-    outside of wording that stands in several items.
+    outside of wording that stands in several items, or with ``altered`` with any hit.
 
-    ``own_words``: the longest exact run of at least ``SPAN`` words that stands in no other item, else 0.
+    ``own_words``: the longest exact run of at least ``SPAN`` words that stands in no other item, else 0; it needs
+    no hits inside of such wording, overlaps with replaced words do.
     """
     q = items.select(F.col(item_key).cast("bigint").alias("key"), F.col(item_text).cast("string").alias("text")).filter("text is not null").dropDuplicates(["key"])
     rows = sorted((r.key, r.text) for r in collect_bounded(q, max_items, "evaluation items"))
@@ -245,7 +247,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     kind = base.schema["key"].dataType.simpleString()
     out = None
     for b in blocks:
-        block = Block(b, {k: covers[k] for k, _ in b if k in covers})
+        block = Block(b, {k: covers[k] for k, _ in b if k in covers}, altered)
         hits = base.mapInPandas(_search(block), f"item_id bigint, key {kind}, own_words int, exact_words int, overlap_words int, substitutions int, at_word int")
         out = hits if out is None else out.unionByName(hits)
     return out.withColumnRenamed("key", key)

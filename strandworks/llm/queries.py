@@ -198,10 +198,10 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 7: evaluation texts leaking into training text
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, altered: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "eval_items").select("item_id", "question_and_explanation")
-    return find_leaks(docs, "doc_id", "text", items, "item_id", "question_and_explanation")
+    return find_leaks(docs, "doc_id", "text", items, "item_id", "question_and_explanation", altered=altered)
 
 
 @query
@@ -213,7 +213,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of sixteen equal words and more in which at most every ninth word was replaced."""
-    return _leaks(spark, sf_dir).filter("overlap_words >= 16 AND substitutions > 0 AND substitutions * 8 <= overlap_words").select("item_id", "doc_id", "overlap_words", "substitutions", "exact_words")
+    return _leaks(spark, sf_dir, altered=True).filter("overlap_words >= 16 AND substitutions > 0 AND substitutions * 8 <= overlap_words").select("item_id", "doc_id", "overlap_words", "substitutions", "exact_words")
 
 
 # ---- 8: mixing sources to target weights

@@ -71,5 +71,23 @@ def test_substitutions(spark):
     assert (r.item_id, r.doc_id, r.own_words) == (5, 1, 0) and r.overlap_words >= 14 and r.substitutions >= 2
 
 
+def test_substitutions_in_shared_wording(spark):
+    from strandworks.llm import queries
+
+    stock = [f"t{i}" for i in range(24)]
+    items = [(k, " ".join([f"a{k}", *stock, f"b{k}"])) for k in (1, 2)]
+    text = " ".join("zz" if i == 12 else w for i, w in enumerate(stock))
+    docs = spark.createDataFrame([(7, text)], "doc_id bigint, text string")
+    q = spark.createDataFrame(items, "item_id bigint, question_and_explanation string")
+    tables, read = {"documents": docs, "eval_items": q}, queries.table
+    queries.table = lambda spark, sf_dir, name: tables[name]
+    try:
+        got = queries.p7_altered(spark, "").collect()
+        own = queries.p7_found(spark, "").count()
+    finally:
+        queries.table = read
+    assert sorted(map(tuple, got)) == [(1, 7, 23, 1, 12), (2, 7, 23, 1, 12)] and own == 0
+
+
 def test_words():
     assert words_of("It&#39;s <b>re\xadmade</b>&nbsp;x_y p<3 É") == ["it", "s", "remade", "x", "y", "p", "3", "é"]
