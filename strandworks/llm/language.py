@@ -10,7 +10,7 @@ batches at once.
 
 The classifier is fitted on the driver from a bounded sample of labelled texts: of every
 language the ``sample`` texts (of at most 20,000 characters) with the smallest hash of their key, plus a
-few fixed sentences.
+few fixed sentences; all sentences of these count.
 Labels are noisy, so a first model drops sentences that contradict their label; the second one is
 fitted on the rest. Scoring covers every text whole.
 
@@ -183,34 +183,37 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 80, ridge: float = 3e-
     L = np.zeros((len(vocabulary), len(marks)), dtype=np.float32)
     for i, at, n in _presence([texts[i] for i in marks], vocabulary):
         L[at, i] = 1 / np.sqrt(max(n, 1))
-    K = np.zeros((len(texts), len(marks)), dtype=np.float32)
-    for lo in range(0, len(texts), 2000):
-        for i, at, n in _presence(texts[lo : lo + 2000], vocabulary):
-            K[lo + i] = L[at].sum(axis=0) / np.sqrt(max(n, 1))
-    values, vectors = np.linalg.eigh(K[marks].astype(np.float64))
+
+    def kernel(some: list[str]) -> np.ndarray:
+        K = np.zeros((len(some), len(marks)), dtype=np.float32)
+        for i, at, n in _presence(some, vocabulary):
+            K[i] = L[at].sum(axis=0) / np.sqrt(max(n, 1))
+        return K
+
+    values, vectors = np.linalg.eigh(kernel([texts[i] for i in marks]).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([K @ whiten, np.ones((len(texts), 1))])
     counts = np.bincount(y, minlength=len(LANGUAGES))
-    w = (1 / np.maximum(counts, 1))[y]
-    Y = np.eye(len(LANGUAGES))[y]
-    A = (phi * w[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    coef = np.linalg.solve(A, (phi * w[:, None]).T @ Y)
+    A, B = ridge * np.eye(whiten.shape[1] + 1), np.zeros((whiten.shape[1] + 1, len(LANGUAGES)))
+    for lo in range(0, len(texts), 2000):  # only sums over the sentences are kept
+        part = y[lo : lo + 2000]
+        phi = np.hstack([kernel(texts[lo : lo + 2000]) @ whiten, np.ones((len(part), 1))])
+        weighed = (phi * (1 / np.maximum(counts, 1))[part][:, None]).T
+        A += weighed @ phi
+        B += weighed @ np.eye(len(LANGUAGES))[part]
+    coef = np.linalg.solve(A, B)
     return Model(vocabulary, (L @ (whiten @ coef[:-1])).astype(np.float32))
 
 
-def train(rows: list[tuple[str, str]], per_language: int = 800) -> Model:
-    """Fits on ``(text, language)``; sentences that a first model judges otherwise are dropped."""
-    texts, y, counts = [], [], [0] * len(LANGUAGES)
-    for code, seeds in _SEEDS.items():
-        rows = [*rows, *[(s, code) for s in seeds]]
-    for text, code in rows:
+def train(rows: list[tuple[str, str]]) -> Model:
+    """Fits on all sentences of ``(text, language)``; those that a first model judges otherwise are dropped."""
+    texts, y = [], []
+    for text, code in [*rows, *[(s, code) for code, seeds in _SEEDS.items() for s in seeds]]:
         c = LANGUAGES.index(code)
         for s in sentences_of(text):
             t = normalise(s)
-            if counts[c] >= per_language or len(t) < 12:
+            if len(t) < 12:
                 continue
-            counts[c] += 1
             texts.append(t)
             y.append(c)
             bare = normalise("".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)))

@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from strandworks.llm import language
 from strandworks.llm.language import LANGUAGES, grams, label_languages, named_language, normalise, sentences_of
 
 TEXT = {
@@ -30,6 +32,21 @@ def test_sentences_and_grams():
     assert normalise("A1-b 2") == " a b "
 
 
+def test_all_sentences_are_fitted(monkeypatch):
+    """More than 800 sentences of a language: the last ones and the fixed ones take part too."""
+    seen = []
+
+    def noted(texts, y, **options):
+        seen.append((list(texts), y.tolist()))
+        return fit([normalise(TEXT["en"]), normalise(TEXT["de"])], np.array([LANGUAGES.index("en"), LANGUAGES.index("de")]))
+
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", noted)
+    language.train([(f"This is sentence number {'x' * (i % 30)} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 100]}.", "en") for i in range(1000)])
+    assert seen[0][1].count(LANGUAGES.index("en")) == 1002
+    assert normalise("We do not know whether the experiment worked and what follows from it.") in seen[0][0]
+
+
 def test_labelling(spark):
     rows = [(i, TEXT[c], c) for i, c in enumerate(LANGUAGES)] + [(10, TEXT["it"], "en")]
     rows += [(20, TEXT["en"] + " " + TEXT["de"] + "\n" + TEXT["ru"], "en"), (21, TEXT["fr"], None), (22, None, "en"), (23, " \n", "en"), (24, "123 !!", "en"), (25, TEXT["sv"], "Swedish"), (26, TEXT["pt"], "??"), (26, TEXT["pt"], "??")]
