@@ -18,17 +18,21 @@ def mentions(entities: DataFrame, units: DataFrame, longest: int = 6) -> DataFra
     """``(snippet_id, entity, pos, token_pos)``: entities whose words stand in a text, ignoring case.
 
     Texts are cut into runs of up to ``longest`` words, which meet the titles in an equi join; no
-    text is compared with a title it does not hold. ``pos`` is the first place, ``token_pos`` the
+    text is compared with a title it does not hold. Longer titles meet by their first ``longest``
+    words and are then compared whole. ``pos`` is the first place, ``token_pos`` the
     number of words before it, capped.
     """
-    e = entities.select("title", _tokens(F.col("title")).alias("w")).filter(F.size("w").between(1, longest))
-    longest = e.agg(F.max(F.size("w"))).first()[0] or 1
-    e = e.select("title", F.array_join("w", " ").alias("k")).distinct()
+    e = entities.select("title", _tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
+    longest = min(longest, e.agg(F.max(F.size("w"))).first()[0] or 1)
+    whole = F.when(F.size("w") > longest, F.array_join("w", " "))
+    e = e.select("title", F.array_join(F.slice("w", 1, longest), " ").alias("k"), whole.alias("whole")).distinct()
     t = units.select(F.col("id").alias("snippet_id"), F.col("text")).filter("text is not null")
     w = t.select("snippet_id", _tokens(F.col("text")).alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    hits = w.select("snippet_id", F.explode(F.array_distinct(runs)).alias("k")).join(e, "k").select("snippet_id", "title")
-    t = hits.join(t, "snippet_id").withColumn("text", F.lower("text"))
+    hits = w.select("snippet_id", F.explode(F.array_distinct(runs)).alias("k")).join(e, "k").select("snippet_id", "title", "whole")
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t = hits.join(t, "snippet_id").filter(F.col("whole").isNull() | F.contains(spaced(F.array_join(_tokens(F.col("text")), " ")), spaced(F.col("whole"))))
+    t = t.withColumn("text", F.lower("text"))
     t = t.withColumn("at", F.expr("instr(text, lower(title))")).filter("at > 0")
     before = F.filter(F.split(F.substring("text", F.lit(1), F.col("at") - 1), r"\s+"), lambda x: x != "")
     return t.select("snippet_id", F.lower("title").alias("entity"), (F.col("at") - 1).alias("pos"), F.least(F.size(before), F.lit(LAST_POSITION)).alias("token_pos"))

@@ -119,3 +119,12 @@ def test_evaluation(spark):
     wide = spark.createDataFrame([(1, 2, "Yes", None)], "item_id int, k_hops int, correctness_a string, correctness_b string")
     assert sorted((r.model, r.verdict) for r in V.to_long(wide, "item_id", "k_hops").collect()) == [("a", "yes"), ("b", None)]
     assert V.accuracy(df.limit(0)).count() == 0
+
+
+def test_mentions_of_long_titles(spark):
+    """Titles of more words than the runs: found whole, not by their first words alone."""
+    long = "One two three four five six seven eight"
+    e = spark.createDataFrame([(long,), ("two three",)], "title string")
+    u = spark.createDataFrame([("a", "Say " + long.lower() + "."), ("b", "One two three four five six seven"), ("c", long + "een"), ("d", None)], "id string, text string")
+    got = sorted((r.snippet_id, r.entity, r.pos, r.token_pos) for r in R.mentions(e, u).collect())
+    assert got == [("a", long.lower(), 4, 1), ("a", "two three", 8, 2), ("b", "two three", 4, 1), ("c", "two three", 4, 1)]
