@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandworks.operators import evaluation as V
 from strandworks.operators.sampling import checkpoint_step
-from strandworks.runtime import table
+from strandworks.runtime import collect_bounded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,7 +153,7 @@ SQL["f14_complete_models"] = f"WITH {_EV_SOME}, e AS (SELECT item_id, k_hops, mo
 def r10_long_results(spark, sf_dir):
     """Wide results turned into rows."""
     t = verdicts(spark, sf_dir)
-    models = [r.model for r in t.select("model").distinct().orderBy("model").limit(1000).collect()]  # columns of a wide table
+    models = [r.model for r in collect_bounded(t.select("model").distinct().orderBy("model"), 1000, "models")]  # columns of a wide table
     wide = t.groupBy("item_id", "k_hops").pivot("model", models).agg(F.first("verdict")).select("item_id", "k_hops", *[F.col(m).alias(f"correctness_{m}") for m in models])
     return V.to_long(wide, "item_id", "k_hops")
 

@@ -10,7 +10,7 @@ from strandworks.operators import grounding as R
 from strandworks.operators import records as P
 from strandworks.operators.merge import first_by
 from strandworks.plans.kg_queries import _TRIM, COERCED, triples
-from strandworks.runtime import table
+from strandworks.runtime import collect_bounded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,11 +87,16 @@ def g12_merged_nodes(spark, sf_dir):
 SQL["g12_merged_nodes"] = _ROWS + ", n AS (SELECT id, lower(source) AS title, 'STRUCTURE' AS type, 'about ' || source AS d FROM vr UNION ALL SELECT id, lower(target), '', NULL FROM vr) SELECT title, max(type) AS type, coalesce(array_to_string(list_sort(list_distinct(list(d) FILTER (d IS NOT NULL))), '|'), '') AS descriptions, CAST(count(DISTINCT id) AS INT) AS responses FROM n GROUP BY title"
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The fixed relation vocabulary; raises if it is larger than the driver should hold."""
+    return [r.relation for r in collect_bounded(table(spark, sf_dir, "relation_map").select("relation"), 10_000, "relations")]
+
+
 @query
 def n6_allowed_relations(spark, sf_dir):
     """Sorted allowed relations of cells that hold several, exploded."""
     t = table(spark, sf_dir, "predictions").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("relation")), "\n").alias("cell"))
-    names = [r.relation for r in table(spark, sf_dir, "relation_map").select("relation").limit(10_000).collect()]  # fixed vocabulary
+    names = vocabulary(spark, sf_dir)
     return t.select("id", F.explode(P.allowed_relations(P.flatten_relations(F.col("cell")), names)).alias("relation"))
 
 
@@ -127,7 +132,7 @@ def relation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def r1_relation_maps(spark, sf_dir):
     """Cleaned relations per head from JSON objects."""
-    names = [r.relation for r in table(spark, sf_dir, "relation_map").select("relation").limit(10_000).collect()]
+    names = vocabulary(spark, sf_dir)
     return P.relation_map_rows(relation_json(spark, sf_dir), "id", "relations_json", names).select("id", "head", F.array_join("relations", ",").alias("relations"))
 
 
@@ -141,7 +146,7 @@ SELECT id, lh AS head, array_to_string(rels, ',') AS relations FROM y"""
 @query
 def r2_relation_rows(spark, sf_dir):
     """Head and relation rows with the first relation of each head marked."""
-    names = [r.relation for r in table(spark, sf_dir, "relation_map").select("relation").limit(10_000).collect()]
+    names = vocabulary(spark, sf_dir)
     t = P.relation_map_rows(relation_json(spark, sf_dir), "id", "relations_json", names)
     return t.select("id", "head", F.posexplode("relations").alias("p", "relation")).select("id", "head", "relation", (F.col("p") == 0).alias("is_first"))
 

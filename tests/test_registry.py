@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -31,3 +33,19 @@ def test_flagship(spark):
     if Path("/root/testdata/sf0.001").exists():
         df = registry.flagship(spark, "/root/testdata/sf0.001")
         assert df.limit(1).count() == 1
+
+
+def test_bounds_raise(spark, monkeypatch):
+    """A vocabulary or set of models beyond the bound is an error, not cut off."""
+    from pyspark.sql import functions as F
+
+    from strandworks.plans import eval_queries, text_queries
+
+    many = spark.range(10_001).select(F.concat(F.lit("r"), "id").alias("relation"))
+    some = spark.createDataFrame([("a1", "h", "r1")], "id string, head string, relation string")
+    monkeypatch.setattr(text_queries, "table", lambda spark, sf_dir, name: many if name == "relation_map" else some)
+    models = spark.range(1001).select(F.lit(1).alias("item_id"), F.lit(1).alias("k_hops"), F.concat(F.lit("m"), "id").alias("model"), F.lit("yes").alias("verdict"))
+    monkeypatch.setattr(eval_queries, "verdicts", lambda spark, sf_dir: models)
+    for q in (text_queries.n6_allowed_relations, text_queries.r1_relation_maps, text_queries.r2_relation_rows, eval_queries.r10_long_results):
+        with pytest.raises(ValueError, match="more than"):
+            q(spark, "")
