@@ -7,6 +7,7 @@ are cut by written tables, and it reads nothing back but whether a frontier is e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,11 @@ def undirected(df: DataFrame, a: str = "source", b: str = "target") -> DataFrame
     return t.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
 
 
-def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int = 10_000) -> DataFrame:
-    """``(node, hop_distance)`` to the nearest seed by one search from all seeds at once; null if unreachable."""
+def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int | None = None) -> DataFrame:
+    """``(node, hop_distance)`` to the nearest seed by one search from all seeds at once; null if unreachable.
+
+    The search goes on until it reaches no further node; if ``max_rounds`` do not suffice, it raises.
+    """
     work = Workspace(edges.sparkSession, "hops")
     e = work.cut(undirected(edges))
     nodes = e.select(F.col("a").alias("node")).distinct()
@@ -34,11 +38,13 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int
     frontier = work.cut(nodes.join(start, "node", "left_semi").withColumn("d", F.lit(0)))
     levels = [frontier]
     seen = frontier.select("node")
-    for d in range(1, max_rounds + 1):
+    for d in count(1):
         reached = e.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         frontier = work.cut(reached.join(seen, "node", "left_anti").withColumn("d", F.lit(d)))
         if frontier.isEmpty():
             break
+        if max_rounds is not None and d > max_rounds:
+            raise ValueError(f"hop distances: nodes further away than {max_rounds} hops; raise max_rounds")
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("node"))
     found = levels[0]

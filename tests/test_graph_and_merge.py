@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandworks.operators import entities as E
@@ -148,3 +149,11 @@ def test_small_operators(spark):
     assert sorted((r.s for r in names.collect()), key=lambda x: (x is None, x)) == [20, 100, None]
     a, b = spark.createDataFrame([(0, "a0"), (1, "a1")], "n int, x string"), spark.createDataFrame([(0, "b0")], "n int, x string")
     assert [r.x for r in S.interleave([a, b], "n").collect()] == ["a0", "b0", "a1"]
+
+
+def test_hop_search_is_not_cut_off(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "source string, target string")
+    seeds = spark.createDataFrame([("n0",)], "s string")
+    assert {r.node: r.hop_distance for r in G.hop_distances(df, seeds, "s", 4).collect()} == {f"n{i}": i for i in range(5)}
+    with pytest.raises(ValueError):
+        G.hop_distances(df, seeds, "s", 3)
