@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from strandworks.llm import language
-from strandworks.llm.language import LANGUAGES, grams, label_languages, named_language, normalise, sentences_of
+from strandworks.llm.language import LANGUAGES, Languages, Nystroem, Vocabulary, _landmarks, grams, label_languages, named_language, normalise, sentences_of, training_rows, training_sentences
 
 TEXT = {
     "en": "The authors think that this loop ends in the outer layer. Nobody has tested whether the gyrus can replace the column. During rest the field replays what the neuron sent in the morning.",
@@ -32,19 +32,45 @@ def test_sentences_and_grams():
     assert normalise("A1-b 2") == " a b "
 
 
-def test_all_sentences_are_fitted(monkeypatch):
+def test_all_sentences_are_fitted():
     """More than 800 sentences of a language: the last ones and the fixed ones take part too."""
-    seen = []
+    rows = [(f"This is sentence number {'x' * (i % 30)} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 100]}.", "en") for i in range(1000)]
+    texts, y = training_sentences(rows)
+    assert y.tolist().count(LANGUAGES.index("en")) == 1002
+    assert normalise("We do not know whether the experiment worked and what follows from it.") in texts
 
-    def noted(texts, y, **options):
-        seen.append((list(texts), y.tolist()))
-        return fit([normalise(TEXT["en"]), normalise(TEXT["de"])], np.array([LANGUAGES.index("en"), LANGUAGES.index("de")]))
 
-    fit = language.fit
-    monkeypatch.setattr(language, "fit", noted)
-    language.train([(f"This is sentence number {'x' * (i % 30)} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 100]}.", "en") for i in range(1000)])
-    assert seen[0][1].count(LANGUAGES.index("en")) == 1002
-    assert normalise("We do not know whether the experiment worked and what follows from it.") in seen[0][0]
+def test_vocabulary_and_kernel():
+    r = np.random.default_rng(1)
+    known = np.unique(r.integers(0, 1 << 44, 500, dtype=np.uint64) & np.uint64(~((1 << 40) - 1) & (1 << 44) - 1 | 0xFF))
+    h = np.concatenate([known, r.integers(0, 1 << 44, 300, dtype=np.uint64)])
+    where, place = Vocabulary(known).find(h)
+    assert {int(i): int(known[p]) for i, p in zip(where, place)} == {i: int(x) for i, x in enumerate(h) if x in set(known.tolist())} and (np.diff(where) > 0).all()
+    texts, y = training_sentences([(TEXT[c], c) for c in LANGUAGES])
+    features = Nystroem(texts, y, LANGUAGES, 3)
+    marks = _landmarks(y, len(LANGUAGES), 3)
+    sets = [{t[a : a + n] for n in range(1, 5) for a in range(len(t) - n + 1)} for t in texts]
+    want = np.array([[len(a & sets[m]) / np.sqrt(len(a) * len(sets[m])) for m in marks] for a in sets])
+    assert np.allclose(features._kernel(texts), want, atol=1e-5)
+    coef = features.solve(np.ones(len(texts), dtype=bool), 1e-2)
+    assert np.allclose(features.model(coef).scores(texts), features.phi[:, :-1] @ coef[:-1], atol=1e-3)
+
+
+def test_sample_is_bounded_and_whole(spark):
+    """Smallest hashes of each language, whatever the number of tasks; one key in a third of the rows moves once."""
+    rows = [(i % 400 if i % 3 else 7, f"text {i % 400 if i % 3 else 7} words", "en" if i % 5 else "Deutsch") for i in range(3000)] + [(5000 + i, " ", "it") for i in range(50)] + [(6000, "testo", "it"), (6001, None, "it"), (6002, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [training_rows(df.repartition(n), "doc_id", "text", "lang", 20) for n in (1, 9)]
+    assert got[0] == got[1]
+    count = {c: sum(x == c for _, x in got[0]) for c in ("en", "de", "it")}
+    assert count == {"en": 20, "de": 20, "it": 1}
+
+
+def test_rejection_and_own_languages(spark):
+    own = Languages({"en": ("en",), "de": ("de",)}, {c: language._SEEDS[c] for c in ("en", "de")})
+    df = spark.createDataFrame([(1, TEXT["en"], "en"), (2, TEXT["de"], "de"), (3, TEXT["ru"], "ru")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in label_languages(df, "doc_id", "text", "lang", languages=own, least_confidence=0.6).collect()}
+    assert (got[1].lang, got[2].lang, got[3].lang) == ("en", "de", "und") and got[3].label_language is None
 
 
 def test_labelling(spark):
