@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from strandworks.runtime import spread
 
 NGRAM = 4
-SWITCH = 0.25
+SWITCH = 0.15
 #: Letters from which on a sentence counts fully.
 FULL_LENGTH = 50
 SHARPNESS = 6.0
@@ -190,18 +190,16 @@ class Vocabulary:
         """``(positions in h, places in the vocabulary)`` of those that are known, in order."""
         slot = (h >> self.shift).astype(np.int32)
         at, stop = self.start[slot], self.start[slot + 1]
+        place = np.full(len(h), -1, dtype=np.int32)
         left = np.flatnonzero(at < stop)
         at, stop, wanted = at[left], stop[left], h[left]
-        found, place = [], []
         for _ in range(self.deepest):
             same = self.hashes[at] == wanted
-            found.append(left[same])
-            place.append(at[same])
+            place[left[same]] = at[same]
             more = ~same & (at + 1 < stop)
             left, at, stop, wanted = left[more], at[more] + 1, stop[more], wanted[more]
-        where = np.concatenate(found) if found else np.zeros(0, np.int64)
-        order = np.argsort(where, kind="stable")
-        return where[order], (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
+        where = np.flatnonzero(place >= 0)
+        return where, place[where]
 
 
 def _sums(owner: np.ndarray, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -417,8 +415,8 @@ def label_languages(docs: DataFrame, key: str, text: str, label: str, sample: in
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, names = model.value, languages.named
         for part in parts:
-            for at in range(0, len(part), 128):
-                piece = part.iloc[at : at + 128]
+            for at in range(0, len(part), 64):
+                piece = part.iloc[at : at + 64]
                 rows = []
                 for k, given, runs in zip(piece["k"], piece["l"], segments(m, piece["t"].tolist(), least_confidence)):
                     weight: dict[str, float] = {}
