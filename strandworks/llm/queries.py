@@ -212,8 +212,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of sixteen equal words and more in which at most every ninth word was replaced."""
-    return _leaks(spark, sf_dir, altered=True).filter("overlap_words >= 16 AND substitutions > 0 AND substitutions * 8 <= overlap_words").select("item_id", "doc_id", "overlap_words", "substitutions", "exact_words")
+    """Overlaps of twelve equal words and more in which words were replaced."""
+    return _leaks(spark, sf_dir, altered=True).filter("overlap_words >= 12 AND substitutions > 0").select("item_id", "doc_id", "overlap_words", "substitutions", "exact_words")
 
 
 # ---- 8: mixing sources to target weights

@@ -1,6 +1,9 @@
 import random
 
-from strandworks.llm.leaks import SPAN, find_leaks, words_of
+import numpy as np
+import pytest
+
+from strandworks.llm.leaks import SPAN, find_leaks, shared_lengths, words_of
 
 
 def brute(docs, items):
@@ -62,6 +65,51 @@ def test_against_definition(spark):
     assert find_leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
 
 
+def test_shared_lengths():
+    r = random.Random(8)
+    for _ in range(30):
+        stock = [r.randrange(4) for _ in range(25)]
+        items = [[r.randrange(4) for _ in range(r.randrange(12))] + stock[r.randrange(10) : r.randrange(10, 26)] + [r.randrange(4) for _ in range(r.randrange(12))] for _ in range(7)] + [stock, stock, []]
+        got = shared_lengths([np.array(x, dtype=np.int64) for x in items])
+
+        def longest(i, p):
+            n = max((next((n for n in range(99) if p + n >= len(items[i]) or q + n >= len(y) or items[i][p + n] != y[q + n]), 0) for j, y in enumerate(items) if j != i for q in range(len(y))), default=0)
+            return n if n >= SPAN else 0
+
+        assert [g.tolist() for g in got] == [[longest(i, p) for p in range(len(x))] for i, x in enumerate(items)]
+    assert shared_lengths([]) == []
+
+
+def test_many_items_with_one_stock_sentence(spark):
+    """Shared wording is never compared pair by pair; what is an item's own beside it is found."""
+    stock = " ".join(f"s{i}" for i in range(12))
+    q = spark.createDataFrame([(k, f"{stock} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} {stock}") for k in range(3000)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, stock), (2, "x a7 b7 c7 d7 e7 f7 g7 h7 i7 y"), (3, "s9 s10 s11 a8 b8 c8 d8 e8"), (4, f"{stock} a9")], "doc_id bigint, text string")
+    got = find_leaks(d, "doc_id", "text", q, "item_id", "text").filter("own_words >= 8").collect()
+    assert sorted((r.item_id, r.doc_id, r.own_words) for r in got) == [(7, 2, 9), (8, 3, 8), (9, 4, 13)]
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 12])
+def test_recall_of_altered_passages(spark, every):
+    """Passages of 24 words in which every 5th to 12th word was replaced are all found."""
+    r = random.Random(every)
+    items = [(k, " ".join(f"w{r.randrange(400)}" for _ in range(40))) for k in range(60)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        at, shift = r.randrange(16), r.randrange(every)
+        docs.append((k, " ".join([f"x{i}" for i in range(9)] + ["zz" if i % every == shift else x for i, x in enumerate(w[at : at + 24])] + ["y"] * 5)))
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = find_leaks(d, "doc_id", "text", q, "item_id", "text", altered=True).filter("overlap_words >= 12 AND substitutions > 0")
+    assert {r.doc_id for r in got.collect() if r.item_id == r.doc_id} == set(range(60))
+
+
+def test_bound_raises(spark):
+    q = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
+    with pytest.raises(ValueError):
+        find_leaks(q, "item_id", "text", q, "item_id", "text", max_words=3)
+
+
 def test_substitutions(spark):
     item = " ".join(f"t{i}" for i in range(20))
     altered = " ".join(f"t{i}" if i % 6 != 3 else "zz" for i in range(20))
