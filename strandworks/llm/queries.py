@@ -195,6 +195,13 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.filter("canonical = ''").groupBy(F.col("relation").alias("value")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query
+def p5_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows answered by spelling, by meaning and not at all."""
+    mapped = map_to_canonical(_entered(spark, sf_dir), "at", "relation", _relations(spark, sf_dir))
+    return mapped.groupBy("way").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 # ---- 7: evaluation texts leaking into training text
 
 
