@@ -34,28 +34,29 @@ from strandworks.runtime import Workspace, collect_bounded, spread
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: how the byte-level vocabularies cut a text before their merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAN = 32
 _EPSILON = 1e-9
 
 _encoders: dict = {}
 
 
-def encoder(path: str):
+def encoder(path: str, pattern: str = PATTERN):
     """tiktoken encoder of a rank file; kept per worker."""
-    if path not in _encoders:
-        import public_tokenizers
+    if (path, pattern) not in _encoders:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]
 
 
-def count_tokens(path: str):
+def count_tokens(path: str, pattern: str = PATTERN):
     @F.pandas_udf("bigint")
     def token_count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(path)
+        enc = encoder(path, pattern)
         for part in parts:
             yield pd.Series([0 if not t else len(enc.encode_ordinary(t)) for t in part], dtype="int64")
 
@@ -116,12 +117,12 @@ class Mix:
         self.copies, self.shares = copies, shares
 
 
-def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", seed: int = 42, max_sources: int = 100_000) -> Mix:
+def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern: str = PATTERN, seed: int = 42, max_sources: int = 100_000) -> Mix:
     """``targets``: columns source, target_share, max_repeats."""
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     read = spread(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")))
-    sized = work.cut(read.select("key", "source", count_tokens(tokenizer)("text").alias("tokens")))
+    sized = work.cut(read.select("key", "source", count_tokens(tokenizer, pattern)("text").alias("tokens")))
     goals = {r.source: (r.target_share, r.max_repeats) for r in collect_bounded(targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats > 0"), max_sources, "targets")}
     names = spark.createDataFrame([(s,) for s in goals], "s string")
     held = sized.filter("tokens > 0").join(F.broadcast(names), F.col("source") == F.col("s"), "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))

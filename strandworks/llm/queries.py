@@ -12,7 +12,7 @@ from strandworks.llm.leaks import find_leaks
 from strandworks.llm.mixing import mix_sources
 from strandworks.llm.representative import Preference, claims_of, latent_truth, survivors, true_values, usable_number
 from strandworks.llm.splitting import split_texts
-from strandworks.llm.structural import canonical_triples, collapse_copies, copies_of
+from strandworks.llm.structural import canonical_triples, collapse_copies, composed, copies_of, nested_records
 from strandworks.runtime import table, trim_all
 
 QUERIES: dict = {}
@@ -146,6 +146,20 @@ g AS (SELECT a, r, b, min(h) AS first_row, count(*) AS n_copies FROM k GROUP BY
 SQL["p3_found"] = _P3_RECORDS + "SELECT g.first_row, k.h AS copy_row FROM k JOIN g USING (a, r, b) WHERE k.h <> g.first_row"
 SQL["p3_records"] = _P3_RECORDS + "SELECT first_row, a AS source_key, r AS relation_key, b AS target_key, n_copies FROM g"
 
+
+
+@query
+def p3_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among triples taken as nested records of a relation and two ends without order."""
+    rel = composed(table(spark, sf_dir, "final_relationships").select("human_readable_id", "source", "relation", "target"), ["source", "relation", "target"])
+    t = rel.select("human_readable_id", F.struct("relation", F.array("source", "target").alias("ends")).alias("record"))
+    return copies_of(nested_records(t, "human_readable_id", "record", ("ends",)))
+
+
+SQL["p3_nested"] = rf"""WITH l AS (SELECT human_readable_id AS h, coalesce({_LEAF.format("source")}, '') AS s, coalesce({_LEAF.format("relation")}, '') AS r, coalesce({_LEAF.format("target")}, '') AS t FROM final_relationships),
+k AS (SELECT h, r, least(s, t) AS a, greatest(s, t) AS b FROM l WHERE regexp_matches(s || r || t, '[\p{{L}}\p{{N}}]')), g AS (SELECT a, r, b, min(h) AS first_row FROM k GROUP BY ALL)
+SELECT first_row, h AS copy_row FROM k JOIN g USING (a, r, b) WHERE h <> first_row"""
+
 # ---- 4: splitting oversized items at natural boundaries
 
 

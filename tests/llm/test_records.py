@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandworks.llm.representative import Preference, latent_truth, survivors, true_values, usable_number
-from strandworks.llm.structural import canonical_triples, collapse_copies, copies_of
+from strandworks.llm.structural import canonical_triples, collapse_copies, copies_of, nested_records
 
 
 def test_copies(spark):
@@ -25,6 +25,16 @@ def test_hot_group(spark):
     assert got.count() == 2999 and got.select("first_row").distinct().collect()[0][0] == 0
 
 
+def test_nested_records(spark):
+    kind = "h bigint, r struct<b:string,a:array<struct<y:string,x:int>>,m:map<string,string>>, x int"
+    step = lambda *p: [(y, x) for y, x in p]
+    rows = [(1, ("A b", step(("u", 1), ("v", 2)), {"k": "1", "l": "2"}), 0), (2, ("a-B", step(("U!", 1), ("v ", 2)), {"l": "2.", "k": "1"}), 0), (3, ("ab", step(("v", 2), ("u", 1)), {"k": "1", "l": "2"}), 0), (4, ("ab", step(("u", 1)), {"k": "1", "l": "2"}), 0), (5, None, 0), (6, ("..", [], {}), 0), (7, (None, None, None), 0), (8, ("ab", step(("u", 1), ("v", 2)), {"k": "2", "l": "1"}), 0)]
+    df = spark.createDataFrame(rows, kind)
+    assert sorted(map(tuple, copies_of(nested_records(df, "h", "r")).collect())) == [(1, 2)]
+    assert sorted(map(tuple, copies_of(nested_records(df, "h", "r", ("a",))).collect())) == [(1, 2), (1, 3)]
+    assert nested_records(df, "h", "r").count() == 5 and copies_of(nested_records(df.limit(0), "h", "r")).count() == 0
+
+
 def test_survivors(spark):
     day = lambda d: datetime(2024, 1, d)
     nan, inf = float("nan"), float("inf")
