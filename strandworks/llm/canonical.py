@@ -302,11 +302,11 @@ class Canon:
         best = max(score.values())
         return (best, {n for n, x in score.items() if x == best}) if best >= COVERAGE else (0.0, set())
 
-    def candidates(self, key: str) -> tuple[int, list[str], float, list[str]]:
-        """Nearest names with their distance, best meanings with their share; meanings only where spelling does not decide."""
+    def candidates(self, key: str, whole: bool = True) -> tuple[int, list[str], float, list[str]]:
+        """Nearest names with their distance, best meanings with their share; of a whole reference, meanings only where spelling does not decide."""
         words = key.split()
         d, near = self.by_spelling(words)
-        share, meant = self.by_meaning(words)
+        share, meant = (0.0, set()) if whole and len(near) == 1 else self.by_meaning(words)
         return d, sorted(near), share, sorted(meant)
 
 
@@ -340,7 +340,7 @@ def _shard_matcher(shared):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon = Canon(*shared.value)
         for part in parts:
-            got = [canon.candidates(k) for k in part["k"]]
+            got = [canon.candidates(k, False) for k in part["k"]]
             yield pd.DataFrame({"k": part["k"], "d": [g[0] for g in got], "near": [g[1] for g in got], "share": [g[2] for g in got], "meant": [g[3] for g in got]})
 
     return run
