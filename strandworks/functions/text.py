@@ -60,8 +60,9 @@ def word_count(c: Column) -> Column:
 
 
 def clip_middle(c: Column, limit: int) -> Column:
-    """Longer texts keep their first and last halves around an ellipsis line."""
+    """Trimmed; longer texts keep their first and last halves around an ellipsis line; null gives the empty text."""
     half = limit // 2
+    c = trim_all(F.coalesce(c, F.lit("")))
     return F.when(F.char_length(c) > limit, F.concat(F.left(c, F.lit(half)), F.lit("\n...\n"), F.right(c, F.lit(half)))).otherwise(c)
 
 
@@ -118,6 +119,17 @@ def thinking(c: Column) -> Column:
     return trim_all(F.substring_index(F.substring_index(c, "<think>", -1), "</think>", 1))
 
 
+def gold_letter(c: Column) -> Column:
+    """The last letter A to D that stands alone in a gold answer, else the empty text."""
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-D])\b"), F.lit(1)), F.lit(-1)), F.lit(""))
+
+
+def is_correct(response: Column, answer: Column) -> Column:
+    """Whether a response's answer is the gold answer's letter; no answer is never right."""
+    given = extract_answer(response)
+    return F.coalesce((given == gold_letter(answer)) & (given != ""), F.lit(False))
+
+
 def format_flags(c: Column) -> dict[str, Column]:
     """Whether each part stands exactly once, nothing trails, and the order is right."""
     low = F.lower(c)
@@ -160,18 +172,30 @@ def length_penalty(tokens: Column, soft: int = 550, hard: int = 1500, most: floa
     return F.when(tokens <= soft, 0.0).when(tokens >= hard, most).otherwise((tokens - soft) * F.lit(most) / (hard - soft))
 
 
+def correctness_reward(response: Column, answer: Column, tokens: Column | None = None, soft: int = 550, hard: int = 1500) -> Column:
+    """1 for a right answer, else -1, less the length penalty; without a tokenizer a word counts as two tokens."""
+    n = word_count(response) * 2 if tokens is None else tokens
+    return F.when(is_correct(response, answer), 1.0).otherwise(-1.0) - length_penalty(n, soft, hard)
+
+
+def format_reward(response: Column, each: float = 0.04) -> Column:
+    """A fixed sum for each format flag that holds."""
+    return sum((F.coalesce(f, F.lit(False)).cast("int") for f in format_flags(response).values()), F.lit(0)) * F.lit(each)
+
+
 def repetition_factor(tokens: Column, threshold: float = 0.35) -> Column:
     """Lowered for a token with a large share and for long runs of one token; 1 for no tokens."""
     n = F.size(tokens)
-    top = F.array_max(F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
-    share = F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), top / n - threshold) * 3)
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    # sorted, so that equal tokens stand together and one pass counts them
+    runs = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
-    def step(s, t):
+    def count(s, t):
         run = F.when(s["last"] == t, s["run"] + 1).otherwise(1)
         return F.struct(t.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    most = F.aggregate(tokens, start, step, lambda s: s["most"])
+    top = F.aggregate(F.array_sort(tokens), runs, count, lambda s: s["most"])
+    share = F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), top / n - threshold) * 3)
+    most = F.aggregate(tokens, runs, count, lambda s: s["most"])
     return F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.0), share * (1 - F.greatest(F.lit(0), most - 3) * 0.05)))
 
 
@@ -194,8 +218,7 @@ def alignment_reward(response: Column, answer: Column, path_text: Column) -> Col
     recall, precision = hits / F.greatest(F.lit(1), F.size(path)), hits / F.greatest(F.lit(1), F.size(seen))
     f1 = F.when(recall + precision > 0, 2 * recall * precision / F.when(recall + precision > 0, recall + precision)).otherwise(0.0)
     base = 0.7 * f1 + F.when(hits >= 2, 0.2).otherwise(0.0)
-    given = extract_answer(response)
-    open_gate = (given == answer) & (given != "") & valid & path_text.isNotNull() & (F.size(path) > 0) & (F.size(seen) > 0)
+    open_gate = is_correct(response, answer) & valid & path_text.isNotNull() & (F.size(path) > 0) & (F.size(seen) > 0)
     return F.when(F.coalesce(open_gate, F.lit(False)), F.least(base * repetition_factor(reward_tokens(think)), F.lit(0.8))).otherwise(0.0)
 
 

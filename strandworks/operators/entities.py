@@ -25,8 +25,9 @@ def merge_entities(df: DataFrame, ordinal: str) -> DataFrame:
 
 
 def with_degrees(entities: DataFrame, degrees: DataFrame) -> DataFrame:
-    one = entities.dropDuplicates(["title"])
-    return one.join(degrees, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """Entities, one per title, with the degree of their lower-case title in a graph, 0 if it is not there."""
+    one = entities.dropDuplicates(["title"]).withColumn("_name", F.lower(trim_all(F.col("title"))))
+    return one.join(degrees.select(F.col("title").alias("_name"), "degree"), "_name", "left").drop("_name").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def resolve_units(df: DataFrame, key: str, packed: str, units: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def complete_models(df: DataFrame) -> DataFrame:
     """Rows of models that answered every item."""
     n = df.agg(F.countDistinct("item_id").alias("_n"))
     full = answered(df).groupBy("model").agg(F.countDistinct("item_id").alias("_a")).join(F.broadcast(n)).filter("_a = _n").select("model")
-    return df.join(F.broadcast(full), "model", "left_semi")
+    return df.join(full, "model", "left_semi")
 
 
 def pairs(df: DataFrame, by_hop: bool = False) -> DataFrame:
@@ -96,13 +96,14 @@ def unique_errors(df: DataFrame) -> DataFrame:
 
 
 def gains(df: DataFrame, step: Column) -> DataFrame:
-    """Gains, regressions and net change from each checkpoint to the next, per hop."""
+    """Gains, regressions and net change from each checkpoint to the next, over all items (k_hops null) and per hop."""
     order = df.select("model", step.alias("step")).distinct().filter("step is not null")
     # one row per checkpoint
     order = order.withColumn("rank", F.dense_rank().over(Window.orderBy("step")))
-    t = answered(df).join(F.broadcast(order), "model").select("item_id", "k_hops", "rank", "step", (F.col("verdict") == "yes").alias("right"))
+    t = answered(df).join(order, "model").select("item_id", "k_hops", "rank", "step", (F.col("verdict") == "yes").alias("right"))
     prev = t.select("item_id", (F.col("rank") + 1).alias("rank"), F.col("right").alias("before"))
-    g = t.join(prev, ["item_id", "rank"]).groupBy("step", "k_hops").agg(F.count_if(~F.col("before") & F.col("right")).alias("gains"), F.count_if(F.col("before") & ~F.col("right")).alias("regressions"))
+    g = t.join(prev, ["item_id", "rank"]).groupingSets([["step"], ["step", "k_hops"]], "step", "k_hops")
+    g = g.agg(F.grouping("k_hops").alias("all_hops"), F.count_if(~F.col("before") & F.col("right")).alias("gains"), F.count_if(F.col("before") & ~F.col("right")).alias("regressions"))
     return g.withColumn("net", F.col("gains") - F.col("regressions"))
 
 

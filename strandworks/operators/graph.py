@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.runtime import Workspace, trim_all
+from strandworks.runtime import Workspace, skew_lookup, trim_all
 
 #: Distance that stands for "unreachable" in dense matrices.
 UNREACHABLE = 510
@@ -37,28 +37,28 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int
     start = seeds.select(F.lower(trim_all(F.col(node))).alias("node")).distinct()
     frontier = work.cut(nodes.join(start, "node", "left_semi").withColumn("d", F.lit(0)))
     levels = [frontier]
-    seen = frontier.select("node")
     for d in count(1):
         reached = e.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        # edges lead both ways, so a neighbour of a level lies on it, on the one before or on the next
+        seen = frontier.select("node") if d == 1 else frontier.select("node").unionByName(levels[-2].select("node"))
         frontier = work.cut(reached.join(seen, "node", "left_anti").withColumn("d", F.lit(d)))
         if frontier.isEmpty():
             break
         if max_rounds is not None and d > max_rounds:
             raise ValueError(f"hop distances: nodes further away than {max_rounds} hops; raise max_rounds")
         levels.append(frontier)
-        seen = seen.unionByName(frontier.select("node"))
     found = levels[0]
     for x in levels[1:]:
         found = found.unionByName(x)
-    return nodes.join(found, "node", "left").select("node", F.col("d").alias("hop_distance"))
+    return work.cut(nodes.join(found, "node", "left").select("node", F.col("d").alias("hop_distance")))
 
 
 def triple_hops(triples: DataFrame, distances: DataFrame) -> DataFrame:
-    """Each triple with the smaller distance of its ends; null if neither is reachable."""
+    """Each triple with the smaller distance of its ends; null if neither is reachable. Frequent names are not gathered."""
     t = triples.withColumns({"_a": F.lower(trim_all(F.col("source"))), "_b": F.lower(trim_all(F.col("target")))})
-    t = t.join(distances.select(F.col("node").alias("_a"), F.col("hop_distance").alias("_x")), "_a", "left")
-    t = t.join(distances.select(F.col("node").alias("_b"), F.col("hop_distance").alias("_y")), "_b", "left")
-    return t.withColumn("hop_distance", F.least("_x", "_y")).drop("_a", "_b", "_x", "_y")
+    t = skew_lookup(t, "_a", distances.select(F.col("node").alias("_x"), F.col("hop_distance").alias("_dx")), "_x")
+    t = skew_lookup(t, "_b", distances.select(F.col("node").alias("_y"), F.col("hop_distance").alias("_dy")), "_y")
+    return t.withColumn("hop_distance", F.least("_dx", "_dy")).drop("_a", "_b", "_dx", "_dy")
 
 
 def hubs(degrees: DataFrame, share: float = 0.01) -> DataFrame:
@@ -92,7 +92,7 @@ def k_hop_paths(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hu
 
 def with_inverses(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Both directions of every triple; the inverse relation's number is offset by the largest number."""
-    v = F.broadcast(vocabulary.select("relation", "relation_id"))
+    v = vocabulary.select("relation", "relation_id")
     top = vocabulary.agg(F.max("relation_id").alias("m"))
     t = triples.join(v, "relation").join(F.broadcast(top))
     both = F.explode(F.array(F.struct(F.col("source").alias("head"), F.col("target").alias("tail"), F.col("relation_id").alias("rid")), F.struct(F.col("target").alias("head"), F.col("source").alias("tail"), (F.col("relation_id") + F.col("m")).alias("rid"))))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.functions.text import entity_key, norm_relation, norm_text, split_ids
+from strandworks.functions.text import entity_key, norm_relation, split_ids
 from strandworks.runtime import Workspace, skew_lookup, trim_all
 
 
@@ -25,8 +26,9 @@ def number(c: Column) -> Column:
 def coerce_triples(df: DataFrame, ordinal: str, rank: int = 0) -> DataFrame:
     """Canonical triples from a table that may lack columns.
 
-    relation may be called description; a missing weight is 1.0, a missing degree null; ids come
-    from text_unit_ids or source_id, as comma text or array. ``rank`` orders whole tables.
+    Names are trimmed and lower case; relation may be called description; a missing weight is 1.0,
+    a missing degree null; ids come from text_unit_ids or source_id, as comma text or array. ``rank``
+    orders whole tables.
     """
     have = set(df.columns)
     for needed in ("source", "target"):
@@ -39,8 +41,8 @@ def coerce_triples(df: DataFrame, ordinal: str, rank: int = 0) -> DataFrame:
     if isinstance(ids, Column) and any(f.name in ("text_unit_ids", "source_id") and f.dataType.typeName() == "array" for f in df.schema):
         ids = F.array_join(ids, ",")
     return df.select(
-        F.coalesce(trim_all(F.col("source").cast("string")), F.lit("")).alias("source"),
-        F.coalesce(trim_all(F.col("target").cast("string")), F.lit("")).alias("target"),
+        F.lower(F.coalesce(trim_all(F.col("source").cast("string")), F.lit(""))).alias("source"),
+        F.lower(F.coalesce(trim_all(F.col("target").cast("string")), F.lit(""))).alias("target"),
         norm_relation(relation.cast("string")).alias("relation"),
         F.coalesce(number(F.col("weight").cast("double")), F.lit(1.0)).alias("weight") if "weight" in have else F.lit(1.0).alias("weight"),
         number(F.col("combined_degree").cast("double")).alias("combined_degree") if "combined_degree" in have else F.lit(None).cast("double").alias("combined_degree"),
@@ -53,17 +55,21 @@ def valid_triples(df: DataFrame) -> DataFrame:
     return df.filter("source <> '' AND target <> '' AND relation <> '' AND source <> target")
 
 
-def collapse(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def collapse(df: DataFrame, keys: dict[str, Column], tie: str = "ord") -> DataFrame:
     """One triple per key: names of the row with most degree, then weight, then first; maxima; all ids.
 
-    Aggregates are partial before the shuffle, so a hot key moves one row per task.
+    "First" is by ``tie``. ``place`` orders the results: by degree and weight of each one's best row,
+    then its tie. Aggregates are partial before the shuffle, so a hot key moves one row per task; ids
+    are made distinct before they are gathered.
     """
-    best = F.struct(F.coalesce("combined_degree", F.lit(-1.0)), "weight", F.struct((-F.col("ord.rank")).alias("r"), (-F.col("ord.n")).alias("n")))
-    t = df.withColumns({f"_k{i}": c for i, c in enumerate(keys.values())})
-    row = F.max_by(F.struct("source", "target", "relation", "ord"), best).alias("_b")
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("text_unit_ids")))).alias("text_unit_ids")
-    out = t.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(row, F.max("weight").alias("weight"), F.max("combined_degree").alias("combined_degree"), ids, F.count(F.lit(1)).alias("n_rows"))
-    return out.select("_b.source", "_b.target", "_b.relation", "weight", "combined_degree", "text_unit_ids", "n_rows", F.col("_b.ord").alias("ord"))
+    best = F.struct((-F.coalesce("combined_degree", F.lit(-1.0))).alias("d"), (-F.col("weight")).alias("w"), F.col(tie).alias("o"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    t = df.withColumns(dict(zip(names, keys.values()))).withColumn("_best", best)
+    row = F.min_by(F.struct("source", "target", "relation", "ord"), "_best").alias("_b")
+    out = t.groupBy(*names).agg(row, F.min("_best").alias("place"), F.max("weight").alias("weight"), F.max("combined_degree").alias("combined_degree"), F.count(F.lit(1)).alias("n_rows"))
+    ids = t.select(*names, F.explode("text_unit_ids").alias("_id")).distinct().groupBy(*names).agg(F.sort_array(F.collect_list("_id")).alias("text_unit_ids"))
+    out = out.join(ids, names, "left")  # both are partitioned by the keys
+    return out.select("_b.source", "_b.target", "_b.relation", "weight", "combined_degree", F.coalesce("text_unit_ids", F.array().cast("array<string>")).alias("text_unit_ids"), "n_rows", F.col("_b.ord").alias("ord"), "place")
 
 
 def fast_collapse(df: DataFrame) -> DataFrame:
@@ -75,59 +81,99 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _greedy(threshold: float):
-    """Within a bucket, in name order: the first representative that is similar enough takes the name."""
+_BINS = 64
+
+
+def _bins(text: str) -> np.ndarray:
+    """How often each sign occurs, signs being hashed to bins: equal signs share one."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % _BINS, minlength=_BINS).astype(np.int16)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, reps = None, []  # reps: [name, normal form, canonical name, members]
 
-        def flush():
-            return pd.DataFrame([(m, r[2]) for r in reps for m in r[3]], columns=["name", "canonical"])
+class _Bucket:
+    """Names met so far in one bucket: representatives, and the canonical name of every member.
 
+    A name joins the first representative that is similar enough. The shorter of the two becomes the
+    canonical name of both and of all that had the other as theirs; ``closed`` moves every member of
+    the representative along.
+    """
+
+    def __init__(self, threshold: float, closed: bool) -> None:
+        self.threshold, self.closed = threshold, closed
+        self.reps: list[tuple[str, str]] = []  # name and key
+        self.signs, self.lengths = np.zeros((8, _BINS), dtype=np.int16), np.zeros(8, dtype=np.int64)
+        self.canon: dict[str, str] = {}
+        self.members: list[list[str]] = []  # names with the representative as canonical name; closed: all
+
+    def add(self, name: str, key: str) -> None:
+        n, mine = len(self.reps), _bins(key)
+        longest = np.maximum(np.maximum(self.lengths[:n], len(key)), 1)
+        near = (np.abs(self.lengths[:n] - len(key)) / longest <= 0.25) | (self.lengths[:n] == 0) | (len(key) == 0)
+        # no text can be more similar than its signs allow
+        both = np.minimum(self.signs[:n], mine).sum(axis=1)
+        near &= 2.0 * both >= self.threshold * (self.lengths[:n] + len(key)) - 1e-9
+        for i in np.flatnonzero(near).tolist():
+            rep, other = self.reps[i]
+            if ratio(key, other) >= self.threshold:
+                break
+        else:
+            if n == len(self.lengths):
+                self.signs, self.lengths = np.concatenate([self.signs, np.zeros_like(self.signs)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.signs[n], self.lengths[n] = mine, len(key)
+            self.reps.append((name, key))
+            self.canon[name] = name
+            self.members.append([name])
+            return
+        if self.closed:
+            best = self.canon[rep]
+            best = best if len(best) <= len(name) else name
+            self.members[i].append(name)
+            self.canon |= dict.fromkeys(self.members[i], best) if best != self.canon[rep] else {name: best}
+        elif len(rep) <= len(name):
+            self.canon[name] = rep
+            self.members[i].append(name)
+        else:
+            self.canon |= dict.fromkeys([*self.members[i], rep, name], name)
+            self.members[i] = []
+
+
+def _greedy(threshold: float, closed: bool):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bucket = None, _Bucket(threshold, closed)
         for part in parts:
-            for b, name, norm in zip(part["bucket"], part["name"], part["norm"]):
-                if b != bucket:
-                    if reps:
-                        yield flush()
-                    bucket, reps = b, []
-                for r in reps:
-                    if abs(len(norm) - len(r[1])) / max(1, max(len(norm), len(r[1]))) > 0.25:
-                        continue
-                    if ratio(norm, r[1]) >= threshold:
-                        r[3].append(name)
-                        if len(name) < len(r[2]):
-                            r[2] = name
-                        break
-                else:
-                    reps.append([name, norm, name, [name]])
-        yield flush()
+            for b, name, key in zip(part["bucket"], part["name"], part["key"]):
+                if b != at:
+                    yield pd.DataFrame(list(bucket.canon.items()), columns=["name", "canonical"])
+                    at, bucket = b, _Bucket(threshold, closed)
+                bucket.add(name, key)
+        yield pd.DataFrame(list(bucket.canon.items()), columns=["name", "canonical"])
 
     return run
 
 
-def canonical_names(names: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """``(name, canonical)`` of distinct names, clustered greedily within (three letters, length // 5) buckets.
+def canonical_names(names: DataFrame, threshold: float = 0.90, closed: bool = False) -> DataFrame:
+    """``(name, canonical)`` of distinct names, clustered greedily within (three letters, length // 5) buckets of their keys.
 
-    Buckets are streamed through the worker in name order; a bucket is never loaded whole, only
-    its representatives are kept.
+    A bucket is worked off in name order by one task, which holds its distinct names; pairs are
+    compared sign by sign only where their lengths and their counts of signs allow the threshold.
+    ``closed``: the map is closed, every name of a cluster gets the shortest one.
     """
     n = names.columns[0]
-    t = names.select(F.col(n).alias("name")).filter("name is not null").distinct().withColumn("norm", norm_text(F.col("name")))
-    t = t.withColumn("bucket", F.concat_ws("\x1f", F.substring("norm", 1, 3), F.floor(F.length("norm") / 5).cast("string")))
+    t = names.select(F.col(n).alias("name")).filter("name is not null").distinct().withColumn("key", entity_key(F.col("name")))
+    t = t.withColumn("bucket", F.concat_ws("\x1f", F.substring("key", 1, 3), F.floor(F.char_length("key") / 5).cast("string")))
     t = t.repartition("bucket").sortWithinPartitions("bucket", "name")
-    return t.mapInPandas(_greedy(threshold), "name string, canonical string")
+    return t.mapInPandas(_greedy(threshold, closed), "name string, canonical string")
 
 
-def fuzzy_collapse(df: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Collapse on canonical names. May leave a triple whose ends became one name."""
+def fuzzy_collapse(df: DataFrame, threshold: float = 0.90, closed: bool = False) -> DataFrame:
+    """Collapse on canonical names; equals are ranked by their place in ``df``. May leave a triple whose ends became one name."""
     work = Workspace(df.sparkSession, "fuzzy")
     df = work.cut(df)  # read several times below
     ends = df.select(F.explode(F.array("source", "target")).alias("n"))
-    canon = work.cut(canonical_names(ends, threshold))
+    canon = work.cut(canonical_names(ends, threshold, closed))
     t = skew_lookup(df, "source", canon.select(F.col("name").alias("_sn"), F.col("canonical").alias("_s")), "_sn")
     t = skew_lookup(t, "target", canon.select(F.col("name").alias("_tn"), F.col("canonical").alias("_t")), "_tn")
     t = t.withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")}).drop("_s", "_t", "n_rows")
-    return collapse(t, {"s": F.col("source"), "t": F.col("target"), "r": F.col("relation")})
+    return collapse(t.withColumnRenamed("place", "_before"), {"s": F.col("source"), "t": F.col("target"), "r": F.col("relation")}, "_before")
 
 
 def distinct_pairs(df: DataFrame) -> DataFrame:
@@ -141,6 +187,11 @@ def frequent_relations(df: DataFrame, least: int = 80) -> DataFrame:
     return df.join(keep, "relation", "left_semi")
 
 
+def removed_relations(df: DataFrame, least: int = 80) -> DataFrame:
+    """``(relation, pairs)`` of the relations that ``frequent_relations`` leaves out."""
+    return distinct_pairs(df).filter(F.col("pairs") < least)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in an explicit order."""
     cols = df.columns
@@ -155,10 +206,12 @@ def degrees(df: DataFrame) -> DataFrame:
 
 
 def combined_degrees(df: DataFrame) -> DataFrame:
-    d = degrees(df)
-    edges = df.select("source", "target").distinct()
-    t = edges.join(d.select(F.col("title").alias("source"), F.col("degree").alias("ds")), "source", "left")
-    t = t.join(d.select(F.col("title").alias("target"), F.col("degree").alias("dt")), "target", "left")
+    """Sum of both ends' degrees per distinct edge; ends of high degree are looked up without gathering their edges."""
+    work = Workspace(df.sparkSession, "degrees")
+    edges = work.cut(df.select("source", "target").distinct())
+    d = work.cut(edges.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("degree")))
+    t = skew_lookup(edges, "source", d.select(F.col("title").alias("_s"), F.col("degree").alias("ds")), "_s")
+    t = skew_lookup(t, "target", d.select(F.col("title").alias("_t"), F.col("degree").alias("dt")), "_t")
     return t.select("source", "target", (F.coalesce("ds", F.lit(0)) + F.coalesce("dt", F.lit(0))).alias("combined_degree"))
 
 
@@ -171,17 +224,20 @@ def relation_counts(df: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     return v.join(counts, "relation", "left").select("relation", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def merge_graphs(new: DataFrame, old: DataFrame | None, ordinal: str, threshold: float | None = 0.90, least: int = 80) -> DataFrame:
-    """Old and new triples merged: coercion, exact collapse, fuzzy collapse, strict distinct, frequent relations."""
+def merge_graphs(new: DataFrame, old: DataFrame | None, ordinal: str, threshold: float | None = 0.90, least: int = 80, closed: bool = False) -> DataFrame:
+    """Old and new triples merged: coercion, exact collapse, fuzzy collapse, frequent relations.
+
+    Either collapse leaves every (source, target, relation) once, so no further pass makes them distinct.
+    ``place`` is the order in which results are numbered.
+    """
     t = coerce_triples(new, ordinal, 1)
     if old is not None:
         t = coerce_triples(old, ordinal, 0).unionByName(t)
     t = fast_collapse(valid_triples(t)).drop("n_rows")
     if threshold is not None:
-        t = fuzzy_collapse(t, threshold)
-    t = first_by(t, ["source", "target", "relation"], [F.col("ord")])
+        t = fuzzy_collapse(t, threshold, closed)
     t = frequent_relations(t, least)
-    return t.select("source", "target", "relation", "weight", "combined_degree", F.array_join("text_unit_ids", ",").alias("text_unit_ids"), F.sha2(F.concat_ws("\x1f", "source", "target", "relation"), 256).alias("id"))
+    return t.select("source", "target", "relation", "weight", "combined_degree", F.array_join("text_unit_ids", ",").alias("text_unit_ids"), F.sha2(F.concat_ws("\x1f", "source", "target", "relation"), 256).alias("id"), "place")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "human_readable_id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandworks.functions import text as T
 from strandworks.runtime import trim_all
 
-TAGS = ("Question", "Options", "Explanation", "Answer")
+#: Tags that a generated question needs; its explanation and answer come from elsewhere.
+TAGS = ("Question", "Options")
 
 
 def fields(qae: Column) -> dict[str, Column]:
@@ -52,10 +53,10 @@ def option_lines(qae: Column) -> Column:
     return F.transform(lines, lambda x: trim_all(F.substring(F.trim(x), F.lit(3), F.length(x))))
 
 
-def well_formed(qae: Column) -> Column:
+def well_formed(qae: Column, tags: tuple[str, ...] = TAGS) -> Column:
     """All tags there, options A to D named, no option body empty or under three ASCII characters."""
     ok = F.lit(True)
-    for t in TAGS:
+    for t in tags:
         ok = ok & F.contains(qae, F.lit(f"<{t}>")) & F.contains(qae, F.lit(f"</{t}>"))
     for letter in "ABCD":
         ok = ok & F.contains(qae, F.lit(f"{letter}."))
@@ -73,6 +74,31 @@ def kept_by_length(qae: Column, least: int = 100, most: int = 350) -> Column:
     return ~qae.rlike(r"(?s)<Explanation>.*?</Explanation>") | trace_in_range(block, least, most)
 
 
+def split_by_length(df: DataFrame, qae: str, least: int = 100, most: int = 350) -> tuple[DataFrame, DataFrame]:
+    """Records kept by their length, and one row with the numbers of kept and removed ones."""
+    kept = F.coalesce(kept_by_length(F.col(qae), least, most), F.lit(False))
+    return df.filter(kept), df.agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"))
+
+
+def distinct_options(df: DataFrame, qae: str, factory, batch: int = 64) -> DataFrame:
+    """Well-formed questions whose options a judge does not call near duplicates: only an exact no rejects, no reply too."""
+    from strandworks.functions.scoring import score
+
+    prompt = F.concat(F.lit("Are the answer options of this multiple choice question sufficiently distinct? Respond with Yes or No only.\n"), F.col(qae))
+    t = score(df.filter(well_formed(F.col(qae))).withColumn("_p", prompt), "_p", "_v", factory, batch)
+    return t.filter(F.col("_v").isNotNull() & (F.lower(trim_all(F.col("_v"))) != "no")).drop("_p", "_v")
+
+
+def fact_prompt(head: Column, relation: Column, tail: Column) -> Column:
+    """Prompt that asks for a verdict on a triple."""
+    return F.concat(F.lit("Is this true? "), F.concat_ws(" | ", head, relation, tail), F.lit(" Answer Yes or No."))
+
+
+def tails_prompt(head: Column, relation: Column, text: Column, most_tails: int = 10, most_chars: int = 4000) -> Column:
+    """Prompt that asks for the tails of a head and relation in a text, clipped in the middle."""
+    return F.concat(F.lit("HEAD: "), head, F.lit("\nRELATION: "), relation, F.lit(f"\nTAILS_MAX: {most_tails}\nTEXT:\n"), T.clip_middle(text, most_chars), F.lit("\n\nReturn ONLY the JSON object."))
+
+
 def shorter_trace(first: Column, retry: Column, most: int = 350) -> Column:
     """The retry replaces a trace above the limit if it is shorter."""
     return F.when((T.word_count(first) > most) & retry.isNotNull() & (T.word_count(retry) < T.word_count(first)), retry).otherwise(first)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strandworks.runtime import trim_all
 
-RECORD, FIELD, DONE = "##", "<|>", "<|COMPLETE|>"
+#: Separator of the records of a reply.
+RECORD = "##"
 
 
 def clean_text(c: Column) -> Column:
@@ -49,13 +50,15 @@ def entity_rows(records: DataFrame, key: str) -> DataFrame:
 
 def relationship_rows(records: DataFrame, key: str) -> DataFrame:
     f = lambda i: clean_text(F.get("fields", F.lit(i)))
-    return records.filter(F.col("kind") == '"relationship"').select(key, "pos", F.lower(f(1)).alias("source"), F.lower(f(2)).alias("target"), f(3).alias("relation"), parse_weight(F.element_at("fields", F.lit(-1))).alias("weight"))
+    return records.filter(F.col("kind") == '"relationship"').select(key, "pos", F.lower(f(1)).alias("source"), F.lower(f(2)).alias("target"), F.lower(f(3)).alias("relation"), parse_weight(F.element_at("fields", F.lit(-1))).alias("weight"))
 
 
 def merge_edges(rows: DataFrame, key: str) -> DataFrame:
-    """Edges of one response: relations in order by line, weights summed."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "relation"))), lambda x: x["relation"])
-    return rows.groupBy(key, "source", "target").agg(F.array_join(ordered, "\n").alias("relations"), F.sum("weight").alias("weight"))
+    """Edges of one response: relations in order by line, weights summed, the response named once per record."""
+    ordered = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("pos", "relation"))), lambda x: x["relation"]), lambda x: x != "")
+    named = F.array_join(F.array_repeat(F.col(key).cast("string"), F.col("_n").cast("int")), ", ")
+    g = rows.groupBy(key, "source", "target").agg(F.array_join(ordered, "\n").alias("relations"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("_n"))
+    return g.withColumn("source_id", named).drop("_n")
 
 
 def merge_responses(edges: DataFrame, key: str) -> DataFrame:
@@ -85,33 +88,40 @@ def allowed_relations(c: Column, allowed: list[str]) -> Column:
 def relation_map_rows(df: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:
     """``(key, head, relations)`` of JSON objects {head: relation or list}.
 
-    Heads are trimmed and lowered, the last of colliding heads wins; relations are sorted, distinct
-    and allowed; bad JSON, empty heads and heads without a relation give no row.
+    Heads are trimmed and lowered; of colliding heads the last one in the text that has an allowed
+    relation wins; relations are sorted, distinct and allowed; bad JSON, empty heads and heads
+    without a relation give no row.
     """
-    t = df.select(key, F.expr(f"try_parse_json({column})").alias("j"))
-    t = t.filter("j is not null and schema_of_variant(j) LIKE 'OBJECT%'")
-    t.createOrReplaceTempView("_relation_maps")
-    e = df.sparkSession.sql(f"SELECT {key}, pos, key AS head, try_variant_get(value, '$', 'array<string>') AS many, CASE WHEN schema_of_variant(value) = 'STRING' THEN try_variant_get(value, '$', 'string') END AS one FROM _relation_maps, LATERAL variant_explode(j) AS v(pos, key, value)")
-    rels = F.coalesce(F.when(F.col("one").isNotNull(), F.array("one")), F.col("many"))
-    e = e.select(key, "pos", F.lower(trim_all(F.col("head"))).alias("head"), allowed_relations(F.transform(rels, lambda x: F.lower(trim_all(x))), allowed).alias("relations"))
-    last = e.filter("head <> ''").groupBy(key, "head").agg(F.max_by("relations", "pos").alias("relations"))
-    return last.filter(F.size("relations") > 0)
+    t = df.select(key, F.when(F.trim(column).startswith("{"), F.from_json(column, "map<string,string>")).alias("m"))
+    e = t.select(key, F.posexplode("m").alias("pos", "head", "value"))  # in the order of the text; lists come as their text
+    many = F.from_json("value", "array<string>")
+    rels = F.when(F.trim("value").startswith("["), many).otherwise(F.array("value"))
+    rels = F.transform(F.filter(rels, lambda x: x.isNotNull()), lambda x: F.lower(trim_all(x)))
+    e = e.select(key, "pos", F.lower(trim_all(F.col("head"))).alias("head"), allowed_relations(rels, allowed).alias("relations"))
+    return e.filter((F.col("head") != "") & (F.size("relations") > 0)).groupBy(key, "head").agg(F.max_by("relations", "pos").alias("relations"))
+
+
+def has_relations(df: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:
+    """``(key, has_relations)``: whether any head of the row's JSON object keeps an allowed relation."""
+    kept = relation_map_rows(df, key, column, allowed).select(key).distinct().withColumn("_k", F.lit(True))
+    return df.select(key).join(kept, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("has_relations"))
 
 
 def first_json_object(c: Column) -> Column:
-    """First fenced object, else from the first to the last brace; null unless it parses."""
+    """The first fenced object if it parses, else from the first to the last brace; null unless that parses."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     greedy = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    pick = F.nullif(F.coalesce(F.nullif(fenced, F.lit("")), greedy), F.lit(""))
-    return F.when(F.try_parse_json(pick).isNotNull(), pick)
+    parsed = lambda x: F.when((x != "") & F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(parsed(fenced), parsed(greedy))
 
 
 def json_list(c: Column) -> Column:
-    """First bracketed part that is a JSON list of texts, else all quoted texts; trimmed, lower case."""
+    """First bracketed part that is a JSON list, else all quoted texts; trimmed, lower case, without blank ones."""
     bare = F.regexp_replace(c, r"</?think>", "")
-    lists = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?s)\[.*?\]"), F.lit(0)), lambda x: F.from_json(x, "array<string>")), lambda a: a.isNotNull() & ~F.exists(a, lambda v: v.isNull()))
-    quoted = F.regexp_extract_all(bare, F.lit(r'"([^"]*)"'), F.lit(1))
-    return F.transform(F.coalesce(F.try_element_at(lists, F.lit(1)), quoted), lambda x: F.lower(trim_all(x)))
+    lists = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?s)\[.*?\]"), F.lit(0)), lambda x: F.from_json(x, "array<string>")), lambda a: a.isNotNull())
+    quoted = F.regexp_extract_all(bare, F.lit(r'"([^"]+)"'), F.lit(1))
+    texts = F.coalesce(F.try_element_at(lists, F.lit(1)), quoted)
+    return F.filter(F.transform(texts, lambda x: F.lower(trim_all(F.coalesce(x, F.lit("none"))))), lambda x: x != "")
 
 
 def salvage_object(text: str | None) -> str | None:

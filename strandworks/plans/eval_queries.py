@@ -37,7 +37,7 @@ def checkpoints(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
     names = names.withColumn("ck", F.concat(F.lit("checkpoint-"), F.dense_rank().over(Window.orderBy("model")) * 100))
-    return t.join(F.broadcast(names), "model").drop("model").withColumnRenamed("ck", "model")
+    return t.join(names, "model").drop("model").withColumnRenamed("ck", "model")
 
 
 _EV = """ev AS (SELECT user_id AS item_id, user_id % 5 + 1 AS k_hops, event_type AS model, CASE WHEN v >= 35 THEN 'yes' WHEN v < 3 THEN 'error' ELSE 'no' END AS verdict
@@ -122,11 +122,11 @@ SQL["a19_agreement"] = f"WITH {_EV} SELECT a, b, count(*) AS items, avg(CAST(wa
 @query
 def a20_gains(spark, sf_dir):
     """Gains and regressions between consecutive checkpoints."""
-    return V.gains(checkpoints(spark, sf_dir), checkpoint_step(F.col("model")))
+    return V.gains(checkpoints(spark, sf_dir), checkpoint_step(F.col("model"))).withColumn("all_hops", F.col("all_hops").cast("int"))
 
 
 SQL["a20_gains"] = f"""WITH {_EV}, r AS (SELECT model, dense_rank() OVER (ORDER BY model) AS k FROM (SELECT DISTINCT model FROM ev)), c AS (SELECT an.item_id, an.k_hops, r.k, verdict = 'yes' AS y FROM an JOIN r USING (model))
-SELECT CAST(b.k * 100 AS INT) AS step, b.k_hops, count(*) FILTER (NOT a.y AND b.y) AS gains, count(*) FILTER (a.y AND NOT b.y) AS regressions, count(*) FILTER (NOT a.y AND b.y) - count(*) FILTER (a.y AND NOT b.y) AS net FROM c a JOIN c b ON a.item_id = b.item_id AND b.k = a.k + 1 GROUP BY 1, 2"""
+SELECT CAST(b.k * 100 AS INT) AS step, b.k_hops, CAST(grouping(b.k_hops) AS INT) AS all_hops, count(*) FILTER (NOT a.y AND b.y) AS gains, count(*) FILTER (a.y AND NOT b.y) AS regressions, count(*) FILTER (NOT a.y AND b.y) - count(*) FILTER (a.y AND NOT b.y) AS net FROM c a JOIN c b ON a.item_id = b.item_id AND b.k = a.k + 1 GROUP BY GROUPING SETS ((b.k), (b.k, b.k_hops))"""
 
 
 @query

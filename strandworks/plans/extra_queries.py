@@ -8,7 +8,7 @@ from strandworks.functions import text as T
 from strandworks.operators import evaluation as V
 from strandworks.operators import qa as Q
 from strandworks.operators import sampling as S
-from strandworks.plans.kg_queries import _REL, _TRIM, COERCED, triples
+from strandworks.plans.kg_queries import _PLAIN_RELATION, _REL, _TRIM, COERCED, triples
 from strandworks.plans.qa_queries import _FIELDS, items, text_of
 from strandworks.runtime import table
 
@@ -25,10 +25,11 @@ def query(f):
 def f5_allowed_predictions(spark, sf_dir):
     """Predictions whose relation, in normal form, is canonical, with the relation's number."""
     p = table(spark, sf_dir, "predictions").select("row_no", T.norm_relation(F.col("relation")).alias("relation"))
-    return p.join(F.broadcast(table(spark, sf_dir, "relation_map").select("relation", "relation_id")), "relation").select("row_no", "relation_id")
+    return p.join(table(spark, sf_dir, "relation_map").select("relation", "relation_id"), "relation").select("row_no", "relation_id")
 
 
-SQL["f5_allowed_predictions"] = f"SELECT row_no, relation_id FROM predictions p JOIN relation_map m ON m.relation = {_REL.format(chr(99) + 'oalesce(p.relation, ' + chr(39) * 2 + ')')}"
+_P_RELATION = _REL.format("coalesce(p.relation, '')")
+SQL["f5_allowed_predictions"] = f"SELECT row_no, relation_id FROM predictions p JOIN relation_map m ON m.relation = {_P_RELATION}"
 
 
 @query
@@ -67,7 +68,7 @@ f AS (SELECT title, line, min(i) AS i FROM l GROUP BY 1, 2) SELECT title, CAST(r
 def y4_fact_prompts(spark, sf_dir):
     """Prompts that ask for a verdict on a predicted triple."""
     p = table(spark, sf_dir, "predictions").filter("tail is not null and relation is not null")
-    return p.select("row_no", F.concat(F.lit("Is this true? "), F.concat_ws(" | ", "head", "relation", "tail"), F.lit(" Answer Yes or No.")).alias("prompt"))
+    return p.select("row_no", Q.fact_prompt(F.col("head"), F.col("relation"), F.col("tail")).alias("prompt"))
 
 
 SQL["y4_fact_prompts"] = "SELECT row_no, 'Is this true? ' || concat_ws(' | ', head, relation, tail) || ' Answer Yes or No.' AS prompt FROM predictions WHERE tail IS NOT NULL AND relation IS NOT NULL"
@@ -112,4 +113,4 @@ def u2_union_of_shards(spark, sf_dir):
     return a.unionByName(b).groupBy("origin", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["u2_union_of_shards"] = f"WITH {COERCED} SELECT 'graph' AS origin, relation, count(*) AS n FROM va GROUP BY 2 UNION ALL SELECT 'predicted', {_REL.format(chr(99) + 'oalesce(relation, ' + chr(39) * 2 + ')')}, count(*) FROM predictions GROUP BY 2"
+SQL["u2_union_of_shards"] = f"WITH {COERCED} SELECT 'graph' AS origin, relation, count(*) AS n FROM va GROUP BY 2 UNION ALL SELECT 'predicted', {_PLAIN_RELATION}, count(*) FROM predictions GROUP BY 2"

@@ -43,7 +43,7 @@ _REL = "regexp_replace(replace(lower(" + _TRIM + "), ' ', '_'), '_+', '_', 'g')"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[_-]', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _IDS = "list_sort(list_distinct(list_filter(list_transform(string_split(coalesce({0}, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '')))"
 COERCED = f"""
-co AS (SELECT human_readable_id AS h, run_id, {_TRIM.format("coalesce(source, '')")} AS source, {_TRIM.format("coalesce(target, '')")} AS target, {_REL.format("coalesce(relation, '')")} AS relation,
+co AS (SELECT human_readable_id AS h, run_id, lower({_TRIM.format("coalesce(source, '')")}) AS source, lower({_TRIM.format("coalesce(target, '')")}) AS target, {_REL.format("coalesce(relation, '')")} AS relation,
   coalesce(CASE WHEN isnan(weight) THEN NULL ELSE weight END, 1.0) AS weight, CASE WHEN isnan(combined_degree) THEN NULL ELSE combined_degree END AS combined_degree,
   {_IDS.format("text_unit_ids")} AS ids FROM final_relationships),
 va AS (SELECT * FROM co WHERE source <> '' AND target <> '' AND relation <> '' AND source <> target),
@@ -95,7 +95,8 @@ def n3_relation_forms(spark, sf_dir):
     return t.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["n3_relation_forms"] = f"SELECT {_REL.format(chr(99) + 'oalesce(relation, ' + chr(39) * 2 + ')')} AS relation, count(*) AS n FROM predictions GROUP BY 1"
+_PLAIN_RELATION = _REL.format("coalesce(relation, '')")
+SQL["n3_relation_forms"] = f"SELECT {_PLAIN_RELATION} AS relation, count(*) AS n FROM predictions GROUP BY 1"
 
 
 @query
@@ -112,12 +113,11 @@ SQL["a1_collapsed_triples"] = f"WITH {COERCED}, {_COLLAPSED.format(order='h', sr
 def u1_merged_exact(spark, sf_dir):
     """Old and new graph merged without fuzzy names; relations of at least 80 pairs stay."""
     old, new = split_graphs(spark, sf_dir)
-    return M.merge_graphs(new, old, "human_readable_id", None).drop("id")
+    return M.merge_graphs(new, old, "human_readable_id", None).drop("id", "place")
 
 
 SQL["u1_merged_exact"] = f"""WITH {COERCED}, o AS (SELECT ke.*, CASE WHEN kg_label = 'old' THEN 0 ELSE 1 END AS rk FROM ke LEFT JOIN kg_runs USING (run_id)),
-{_COLLAPSED.format(order='rk, h', src='o')}, oo AS (SELECT cl.* FROM cl),
-dd AS (SELECT DISTINCT ON (source, target, relation) * FROM oo),
+{_COLLAPSED.format(order='rk, h', src='o')}, dd AS (SELECT DISTINCT ON (source, target, relation) * FROM cl),
 fr AS (SELECT relation FROM dd GROUP BY relation HAVING count(DISTINCT (source, target)) >= 80)
 SELECT source, target, relation, weight, combined_degree, text_unit_ids FROM dd WHERE relation IN (SELECT relation FROM fr)"""
 
@@ -133,7 +133,7 @@ def dd3_canonical_names(spark, sf_dir):
 def a2_merged_fuzzy(spark, sf_dir):
     """The whole merge with fuzzy names."""
     old, new = split_graphs(spark, sf_dir)
-    return M.merge_graphs(new, old, "human_readable_id")
+    return M.numbered(M.merge_graphs(new, old, "human_readable_id"), ["place"]).drop("place", "_before")
 
 
 @query
@@ -167,7 +167,7 @@ SQL["a7_vocabulary_counts"] = f"WITH {COERCED} SELECT m.relation, count(va.h) AS
 def f4_whitelisted(spark, sf_dir):
     """Triples whose relation is in the vocabulary."""
     t = triples(spark, sf_dir)
-    return t.join(F.broadcast(table(spark, sf_dir, "relation_map").select("relation")), "relation", "left_semi").select(F.col("ord.n").alias("h"), "source", "relation", "target")
+    return t.join(table(spark, sf_dir, "relation_map").select("relation"), "relation", "left_semi").select(F.col("ord.n").alias("h"), "source", "relation", "target")
 
 
 SQL["f4_whitelisted"] = f"WITH {COERCED} SELECT h, source, relation, target FROM va WHERE relation IN (SELECT relation FROM relation_map)"
@@ -218,7 +218,7 @@ def j1_entity_degrees(spark, sf_dir):
     return E.with_degrees(table(spark, sf_dir, "final_entities").select("title", "type"), M.degrees(triples(spark, sf_dir)))
 
 
-SQL["j1_entity_degrees"] = f"WITH {COERCED}, {_DEG} SELECT e.title, e.type, coalesce(dg.degree, 0) AS degree FROM final_entities e LEFT JOIN dg ON dg.title = e.title"
+SQL["j1_entity_degrees"] = f"WITH {COERCED}, {_DEG} SELECT e.title, e.type, coalesce(dg.degree, 0) AS degree FROM final_entities e LEFT JOIN dg ON dg.title = lower({_TRIM.format('e.title')})"
 
 
 @query
@@ -260,7 +260,7 @@ SELECT human_readable_id, array_to_string(list_sort(list_distinct(list(u.id))),
 def _seeds(spark, sf_dir):
     """Names in the evaluation items' paths."""
     steps = table(spark, sf_dir, "final_entities").filter("degree >= 10")
-    return steps.select(F.col("title").alias("node"))
+    return steps.select(F.lower("title").alias("node"))
 
 
 @query
@@ -321,7 +321,7 @@ def g4_two_hop_paths(spark, sf_dir):
 
 
 SQL["g4_two_hop_paths"] = f"""WITH {COERCED}, {_DEG}, hb AS (SELECT title FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, title) AS r, count(*) OVER () AS n FROM dg) WHERE r <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))),
-e AS (SELECT DISTINCT source, relation, target FROM va), s AS (SELECT DISTINCT title FROM final_entities WHERE degree >= 10),
+e AS (SELECT DISTINCT source, relation, target FROM va), s AS (SELECT DISTINCT lower(title) AS title FROM final_entities WHERE degree >= 10),
 c AS (SELECT title, 1 AS hub FROM hb)
 SELECT a.source AS start, a.relation AS hop1, a.target AS middle, b.relation AS hop2, b.target AS "end" FROM e a JOIN s ON s.title = a.source JOIN e b ON b.source = a.target
 LEFT JOIN c h0 ON h0.title = a.source LEFT JOIN c h1 ON h1.title = a.target LEFT JOIN c h2 ON h2.title = b.target

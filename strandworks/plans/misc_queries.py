@@ -251,11 +251,11 @@ SQL["j11_remaining"] = "SELECT item_id FROM eval_items WHERE NOT k_hops <= 2"
 def u3_name_sets(spark, sf_dir):
     """Names in triples and among entities: common, only in triples, only among entities."""
     t = triples(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("in_triples", F.lit(1))
-    e = table(spark, sf_dir, "final_entities").select(F.col("title").alias("name")).distinct().withColumn("in_entities", F.lit(1))
+    e = table(spark, sf_dir, "final_entities").select(F.lower("title").alias("name")).distinct().withColumn("in_entities", F.lit(1))
     return t.join(e, "name", "full").agg(F.count_if(F.col("in_triples").isNotNull() & F.col("in_entities").isNotNull()).alias("both_sides"), F.count_if(F.col("in_entities").isNull()).alias("only_triples"), F.count_if(F.col("in_triples").isNull()).alias("only_entities"))
 
 
-SQL["u3_name_sets"] = f"WITH {COERCED}, t AS (SELECT source AS name FROM va UNION SELECT target FROM va), e AS (SELECT DISTINCT title AS name FROM final_entities) SELECT count(*) FILTER (t.name IS NOT NULL AND e.name IS NOT NULL) AS both_sides, count(*) FILTER (e.name IS NULL) AS only_triples, count(*) FILTER (t.name IS NULL) AS only_entities FROM t FULL JOIN e ON t.name = e.name"
+SQL["u3_name_sets"] = f"WITH {COERCED}, t AS (SELECT source AS name FROM va UNION SELECT target FROM va), e AS (SELECT DISTINCT lower(title) AS name FROM final_entities) SELECT count(*) FILTER (t.name IS NOT NULL AND e.name IS NOT NULL) AS both_sides, count(*) FILTER (e.name IS NULL) AS only_triples, count(*) FILTER (t.name IS NULL) AS only_entities FROM t FULL JOIN e ON t.name = e.name"
 
 
 @query
@@ -263,7 +263,7 @@ def g7_sampled_starts(spark, sf_dir):
     """Twenty starts among entities that occur in the graph, rarer ones likelier."""
     from strandworks.operators.merge import degrees
 
-    e = table(spark, sf_dir, "final_entities").select("title").join(degrees(triples(spark, sf_dir)), "title")
+    e = table(spark, sf_dir, "final_entities").select(F.lower("title").alias("title")).distinct().join(degrees(triples(spark, sf_dir)), "title")
     return S.weighted_sample(e, "title", "degree", 20)
 
 

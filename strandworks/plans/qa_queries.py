@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import text as T
 from strandworks.operators import graph as G
 from strandworks.operators import qa as Q
 from strandworks.operators import sampling as S
+from strandworks.operators.merge import numbered
 from strandworks.runtime import table
 
 QUERIES: dict = {}
@@ -165,8 +166,7 @@ SQL["n23_extracted_answers"] = SQL["n23_extracted_answers"].replace("AS right",
 def n25_format_flags(spark, sf_dir):
     """Format flags of every completion and the format reward."""
     flags = T.format_flags(F.col("completion"))
-    reward = sum((f.cast("int") for f in flags.values()), F.lit(0)) * F.lit(0.04)
-    return _completions(spark, sf_dir).select("item_id", *[f.alias(n) for n, f in flags.items()], F.round(reward, 6).alias("format_reward"))
+    return _completions(spark, sf_dir).select("item_id", *[f.alias(n) for n, f in flags.items()], F.round(T.format_reward(F.col("completion")), 6).alias("format_reward"))
 
 
 _ONE = r"len(regexp_extract_all(c, '(?s)<think>.*?</think>')) = 1 AS think_once, len(regexp_extract_all(c, '(?s)<explanation>.*?</explanation>')) = 1 AS expl_once, len(regexp_extract_all(c, '(?i)<answer>\s*[A-D]\s*</answer>')) = 1 AS answer_once, contains(lower(c), '</answer>') AND trim(split_part(lower(c), '</answer>', -1), chr(10) || ' ') = '' AS no_trailing"
@@ -177,14 +177,14 @@ SELECT item_id, think_once, expl_once, answer_once, no_trailing, ordered, round(
 
 @query
 def m3_correctness_reward(spark, sf_dir):
-    """Correctness less the length penalty, with softer limits as texts are short."""
-    c = F.col("completion")
-    tokens = T.word_count(c) * 2
-    r = F.when(T.extract_answer(c) == F.col("answer"), 1.0).otherwise(-1.0) - T.length_penalty(tokens, 150, 400)
-    return _completions(spark, sf_dir).select("item_id", tokens.alias("tokens"), F.round(r, 6).alias("reward"))
+    """Correctness less the length penalty, with the usual limits and, as texts are short, with softer ones; gold answers in words."""
+    c, gold = F.col("completion"), F.concat(F.lit("Answer "), F.col("answer"))
+    t = _completions(spark, sf_dir)
+    return t.select("item_id", (T.word_count(c) * 2).alias("tokens"), F.round(T.correctness_reward(c, gold), 6).alias("reward"), F.round(T.correctness_reward(c, gold, None, 150, 400), 6).alias("short_reward"))
 
 
-SQL["m3_correctness_reward"] = _COMP + rf", k AS (SELECT item_id, answer, {_EXTRACT} AS x, 2 * len(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')) AS tokens FROM co) SELECT item_id, CAST(tokens AS INT) AS tokens, round((CASE WHEN x = answer THEN 1.0 ELSE -1.0 END) - CASE WHEN tokens <= 150 THEN 0.0 WHEN tokens >= 400 THEN 1.0 ELSE (tokens - 150) / 250 END, 6) AS reward FROM k"
+_PENALTY = "CASE WHEN tokens <= {0} THEN 0.0 WHEN tokens >= {1} THEN 1.0 ELSE (tokens - {0}) / ({1} - {0}) END"
+SQL["m3_correctness_reward"] = _COMP + rf", k AS (SELECT item_id, regexp_extract_all('Answer ' || answer, '\b([A-D])\b', 1)[-1] AS gold, {_EXTRACT} AS x, 2 * len(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')) AS tokens FROM co), r AS (SELECT *, CASE WHEN x = gold AND x <> '' THEN 1.0 ELSE -1.0 END AS ok FROM k) SELECT item_id, CAST(tokens AS INT) AS tokens, round(ok - {_PENALTY.format(550, 1500)}, 6) AS reward, round(ok - {_PENALTY.format(150, 400)}, 6) AS short_reward FROM r"
 
 
 @query
@@ -211,10 +211,21 @@ SELECT item_id, round(CASE WHEN len(pk) = 0 OR len(tk) = 0 THEN 0.0 ELSE (0.8 *
  * greatest(0.0, greatest(0.0, 1 - greatest(0.0, top / len(tk) - 0.35) * 3) * (1 - greatest(0, most - 3) * 0.05)) END, 6) AS reward FROM t LEFT JOIN n USING (item_id) LEFT JOIN r USING (item_id)"""
 
 
+_F1 = """n AS (SELECT item_id, max(c) AS top FROM (SELECT item_id, w, count(*) AS c FROM u GROUP BY 1, 2) GROUP BY 1), q AS (SELECT item_id, max(c) AS most FROM (SELECT item_id, w, run, count(*) AS c FROM g GROUP BY 1, 2, 3) GROUP BY 1)"""
+_THINK = "split_part(split_part(c, '<think>', -1), '</think>', 1)"
+SQL["m5_alignment_reward"] = _COMP + rf""", o AS (SELECT *, {_ONE}, {_EXTRACT} AS x FROM co), f AS (SELECT *, think_once AND expl_once AND answer_once AND strpos(c, '</think>') < strpos(c, '<explanation>') AND strpos(c, '<explanation>') < strpos(c, '</explanation>')
+ AND strpos(c, '</explanation>') < strpos(lower(c), '<answer>') AND strpos(lower(c), '<answer>') < strpos(lower(c), '</answer>') AND no_trailing AS valid FROM o),
+t AS (SELECT *, {_TOK.format(_THINK)} AS tk, list_distinct({_TOK.format(_PATH)}) AS pk, list_filter(regexp_split_to_array({_THINK}, '\s+'), lambda w: w <> '') AS ws FROM f),
+s AS (SELECT *, list_distinct({_TOK.format("array_to_string(ws[1:423], ' ')")}) AS sk FROM t), h AS (SELECT *, len(list_intersect(pk, sk)) AS hits FROM s),
+u AS (SELECT item_id, unnest(tk) AS w, generate_subscripts(tk, 1) AS i FROM t), g AS (SELECT *, i - row_number() OVER (PARTITION BY item_id, w ORDER BY i) AS run FROM u), {_F1}
+SELECT item_id, round(CASE WHEN x <> '' AND x = answer AND valid AND len(pk) > 0 AND len(sk) > 0 THEN least(0.8, (0.7 * CASE WHEN hits > 0 THEN 2 * (hits / len(pk)) * (hits / len(sk)) / (hits / len(pk) + hits / len(sk)) ELSE 0.0 END + CASE WHEN hits >= 2 THEN 0.2 ELSE 0.0 END)
+ * greatest(0.0, greatest(0.0, 1 - greatest(0.0, top / len(tk) - 0.35) * 3) * (1 - greatest(0, most - 3) * 0.05))) ELSE 0.0 END, 6) AS reward FROM h LEFT JOIN n USING (item_id) LEFT JOIN q USING (item_id)"""
+
+
 @query
 def k4_head_holdout(spark, sf_dir):
     """First rows of the items as evaluation part."""
-    t = items(spark, sf_dir).select("item_id", (F.dense_rank().over(Window.orderBy("item_id")) - 1).alias("n"))
+    t = numbered(items(spark, sf_dir).select("item_id"), ["item_id"], "n")
     return S.head_holdout(t, "n").select("item_id", "is_eval")
 
 
@@ -248,6 +259,29 @@ def k6_random_split(spark, sf_dir):
     return S.random_split(items(spark, sf_dir).select("item_id"), "item_id", 0.1)
 
 
+@query
+def f12_counts(spark, sf_dir):
+    """How many items the length filter keeps and removes."""
+    return Q.split_by_length(items(spark, sf_dir), "question_and_explanation", 30, 60)[1]
+
+
+SQL["f12_counts"] = f"WITH {_FIELDS}, w AS (SELECT len(list_filter(regexp_split_to_array(explanation, '\\s+'), lambda x: x <> '')) BETWEEN 30 AND 60 AS k FROM fi) SELECT count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS removed FROM w"
+
+
+def _no_judge():
+    return lambda prompts: ["No " if len(p or "") % 3 == 0 else "no, not quite" for p in prompts]
+
+
+@query
+def y7_distinct_options(spark, sf_dir):
+    """Items whose options a rule judge does not call near duplicates."""
+    return Q.distinct_options(items(spark, sf_dir), "question_and_explanation", _no_judge).select("item_id")
+
+
+_ASK = "Are the answer options of this multiple choice question sufficiently distinct? Respond with Yes or No only."
+SQL["y7_distinct_options"] = SQL["f10_well_formed"].replace("SELECT item_id, CAST(len(op) AS INT) AS options", "SELECT item_id") + f" AND (length(question_and_explanation) + {len(_ASK) + 1}) % 3 <> 0"
+
+
 @query
 def k11_weighted_sample(spark, sf_dir):
     """Fifty entities, rarer ones likelier."""

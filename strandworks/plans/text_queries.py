@@ -63,7 +63,7 @@ def a23_response_edges(spark, sf_dir):
     return P.merge_edges(t, "id").withColumn("weight", F.round("weight", 4))
 
 
-SQL["a23_response_edges"] = _ROWS + " SELECT id, lower(source) AS source, lower(target) AS target, string_agg(relation, chr(10) ORDER BY h) AS relations, round(sum(CAST(CAST(weight AS DECIMAL(10,2)) AS DOUBLE)), 4) AS weight FROM vr GROUP BY 1, 2, 3"
+SQL["a23_response_edges"] = _ROWS + " SELECT id, lower(source) AS source, lower(target) AS target, string_agg(lower(relation), chr(10) ORDER BY h) AS relations, array_to_string(list(id), ', ') AS source_id, round(sum(CAST(CAST(weight AS DECIMAL(10,2)) AS DOUBLE)), 4) AS weight FROM vr GROUP BY 1, 2, 3"
 
 
 @query
@@ -105,12 +105,14 @@ SQL["n6_allowed_relations"] = rf"SELECT DISTINCT id, lower({_TRIM.format('relati
 
 @query
 def n4_aliases(spark, sf_dir):
-    """Relations after alias replacement."""
-    t = table(spark, sf_dir, "predictions").select("row_no", F.lower(F.col("relation")).alias("relation"))
-    return t.select("row_no", T.alias_relation(F.col("relation"), {"stores": "keeps", "sends axons to": "sends_axons_to", "excites": "raises"}).alias("relation"))
+    """Relations after alias replacement: by the usual map, some spellings made of row numbers, and by an own map."""
+    names = F.array(*[F.lit(a) for a in (*T.RELATION_ALIASES, "stores")])
+    t = table(spark, sf_dir, "predictions").select("row_no", F.lower(F.col("relation")).alias("relation"), F.get(names, (F.col("row_no") % (len(T.RELATION_ALIASES) + 1)).cast("int")).alias("usual"))
+    return t.select("row_no", T.alias_relation(F.col("usual")).alias("usual"), T.alias_relation(F.col("relation"), {"stores": "keeps", "sends axons to": "sends_axons_to", "excites": "raises"}).alias("relation"))
 
 
-SQL["n4_aliases"] = "SELECT row_no, CASE lower(relation) WHEN 'stores' THEN 'keeps' WHEN 'sends axons to' THEN 'sends_axons_to' WHEN 'excites' THEN 'raises' ELSE lower(relation) END AS relation FROM predictions"
+_ALIAS_CASES = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(T.RELATION_ALIASES.values()))
+SQL["n4_aliases"] = f"SELECT row_no, CASE row_no % {len(T.RELATION_ALIASES) + 1} {_ALIAS_CASES} ELSE 'stores' END AS usual, CASE lower(relation) WHEN 'stores' THEN 'keeps' WHEN 'sends axons to' THEN 'sends_axons_to' WHEN 'excites' THEN 'raises' ELSE lower(relation) END AS relation FROM predictions"
 
 
 # ---- JSON columns
@@ -154,6 +156,9 @@ def r2_relation_rows(spark, sf_dir):
 SQL["r2_relation_rows"] = SQL["r1_relation_maps"].replace("SELECT id, lh AS head, array_to_string(rels, ',') AS relations FROM y", "SELECT id, lh AS head, unnest(rels) AS relation, generate_subscripts(rels, 1) = 1 AS is_first FROM y")
 
 
+SQL["f6_has_relations"] = SQL["r1_relation_maps"].replace("SELECT id, lh AS head, array_to_string(rels, ',') AS relations FROM y", "SELECT DISTINCT g.id, g.id IN (SELECT id FROM y) AS has_relations FROM g")
+
+
 @query
 def n11_salvaged_objects(spark, sf_dir):
     """Rightmost object of messy replies."""
@@ -164,19 +169,28 @@ def n11_salvaged_objects(spark, sf_dir):
 
 @query
 def n12_first_objects(spark, sf_dir):
-    """First object of fenced replies."""
-    t = relation_json(spark, sf_dir)
-    return t.select("id", P.first_json_object(F.concat(F.lit("Here:\n```json\n"), "relations_json", F.lit("\n```"))).isNotNull().alias("found"))
+    """First object of replies: fenced, fenced but broken with a whole one around, and bare."""
+    d = F.right("id", F.lit(3)).cast("int") % 3
+    whole = F.concat(F.lit('{"id":"'), "id", F.lit('"}'))
+    reply = F.when(d == 0, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```"))).when(d == 1, F.concat(F.lit('so {"a": "```json {x} ```", "id":"'), "id", F.lit('"} done'))).otherwise(F.concat(F.lit("{no "), whole))
+    t = table(spark, sf_dir, "predictions").select("id").distinct()
+    return t.select("id", F.get_json_object(P.first_json_object(reply), "$.id").alias("found"))
 
 
-SQL["n12_first_objects"] = "SELECT DISTINCT id, CAST(right(id, 3) AS INT) % 7 <> 6 AS found FROM predictions WHERE head IS NOT NULL"
+SQL["n12_first_objects"] = "SELECT DISTINCT id, CASE WHEN CAST(right(id, 3) AS INT) % 3 < 2 THEN id END AS found FROM predictions"
+
+
+@query
+def f6_has_relations(spark, sf_dir):
+    """Whether a snippet keeps any allowed relation."""
+    return P.has_relations(relation_json(spark, sf_dir), "id", "relations_json", vocabulary(spark, sf_dir))
 
 
 @query
 def n10_json_lists(spark, sf_dir):
     """Entity lists in replies, as JSON or only quoted."""
     t = table(spark, sf_dir, "eval_items").select("item_id", F.transform("paths", lambda s: s["start"]).alias("a"))
-    j = F.to_json("a")
+    j = F.to_json(F.concat("a", F.array(F.lit(" "))))  # a blank entry counts for nothing
     reply = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<think>[no]</think> "), j)).otherwise(F.concat_ws(" and ", F.transform("a", lambda x: F.concat(F.lit('"'), F.upper(x), F.lit(' "')))))
     return t.select("item_id", F.array_join(P.json_list(reply), "|").alias("names"))
 
@@ -250,10 +264,10 @@ SQL["k13_prediction_shards"] = "SELECT row_no % 4 AS shard, count(*) AS n, count
 @query
 def n14_clipped_texts(spark, sf_dir):
     """Long texts clipped in the middle."""
-    return table(spark, sf_dir, "text_units").filter("text is not null").select("row_no", T.clip_middle(F.col("text"), 1000).alias("clipped"))
+    return table(spark, sf_dir, "text_units").select("row_no", T.clip_middle(F.col("text"), 1000).alias("clipped"))
 
 
-SQL["n14_clipped_texts"] = r"SELECT row_no, CASE WHEN length(text) > 1000 THEN left(text, 500) || chr(10) || '...' || chr(10) || right(text, 500) ELSE text END AS clipped FROM text_units WHERE text IS NOT NULL"
+SQL["n14_clipped_texts"] = "WITH t AS (SELECT row_no, " + _TRIM.format("coalesce(text, '')") + " AS t FROM text_units) SELECT row_no, CASE WHEN length(t) > 1000 THEN left(t, 500) || chr(10) || '...' || chr(10) || right(t, 500) ELSE t END AS clipped FROM t"
 
 
 # ---- mentions and grounding

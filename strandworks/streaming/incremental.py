@@ -17,7 +17,7 @@ def upsert(spark: SparkSession, target: str, batch: DataFrame, ordinal: str, ver
     t = coerce_triples(batch, ordinal, version + 1)
     if version > 0:
         t = spark.read.parquet(f"{target}/v{version - 1}").unionByName(t)
-    merged = fast_collapse(valid_triples(t)).drop("n_rows")
+    merged = fast_collapse(valid_triples(t)).drop("n_rows", "place")
     path = f"{target}/v{version}"
     merged.write.mode("overwrite").parquet(path)
     return path

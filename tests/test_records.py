@@ -16,7 +16,7 @@ def test_tuple_records(spark):
     rel = P.relationship_rows(rec, "id")
     assert sorted((r.source, r.target, r.weight) for r in rel.collect()) == [("axon", "soma", 2.0), ("axon", "soma", 7.5), ("soma", "nerve", 1.0)]
     edges = P.merge_edges(rel, "id")
-    assert sorted((r.relations, r.weight) for r in edges.collect()) == [("ends", 1.0), ("part_of\nfeeds", 9.5)]
+    assert sorted((r.relations, r.weight, r.source_id) for r in edges.collect()) == [("ends", 1.0, "1"), ("part_of\nfeeds", 9.5, "1, 1")]
     nodes = {r.title: r for r in P.merge_nodes(P.entity_rows(rec, "id"), rel, "id").collect()}
     assert set(nodes) == {"axon", "soma", "nerve"} and nodes["axon"].type == "CELL" and nodes["soma"].type == ""
     assert P.merge_responses(edges, "id").count() == 2
@@ -35,6 +35,11 @@ def test_json(spark):
     assert [r.o for r in t.select(P.first_json_object(F.col("s")).alias("o")).collect()] == ['{"x": 1}', None, '{"x": {"y": 2}}']
     t = spark.createDataFrame([(1, '<think>[no]</think> [" A","b"] ["c"]'), (2, 'the "X" and "y "'), (3, "none")], "id int, s string")
     assert [r.o for r in t.select(P.json_list(F.col("s")).alias("o")).collect()] == [["a", "b"], ["x", "y"], []]
+    blank = spark.createDataFrame([('["a", "", " ", null, 3]',), ('a " " and "B"',)], "s string")
+    assert [r.o for r in blank.select(P.json_list(F.col("s")).alias("o")).collect()] == [["a", "none", "3"], ["b"]]
+    maps = spark.createDataFrame([(1, '{"axon":["feeds"],"Axon":["ends"]}'), (2, '{"Axon":["feeds"],"axon":["bogus"]}'), (3, '{"z":"ends","Z":7}')], "id int, j string")
+    assert sorted((r.id, r.head, r.relations) for r in P.relation_map_rows(maps, "id", "j", ["feeds", "ends"]).collect()) == [(1, "axon", ["ends"]), (2, "axon", ["feeds"]), (3, "z", ["ends"])]
+    assert sorted(map(tuple, P.has_relations(df, "id", "j", ["feeds"]).collect())) == [(1, True), (2, False), (3, False), (4, True), (5, False), (6, False), (7, False)]
     t = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id int, tails array<string>")
     assert sorted((r.id, r.tail, r.query_had_no_tails) for r in P.explode_tails(t, "tails").collect()) == [(1, "a", False), (1, "b", False), (2, "", True), (3, "", True)]
     t = spark.createDataFrame([(["A", "a", None, "b", "B", "c"],)], "x array<string>")
@@ -87,6 +92,10 @@ def test_qa(spark):
     good = "<Question>Why so?</Question>\n<Options>\nA. one\nB. two\nC. three\nD. four\n</Options>\n<Explanation>because it is</Explanation>\n<Answer>: B</Answer>"
     df = spark.createDataFrame([(1, good), (2, good.replace("B. two", "B. x")), (3, good.replace("<Answer>:", "<Answer>")), (4, None), (5, good.replace("D. four", ""))], "id int, q string")
     assert sorted(r.id for r in df.filter(Q.well_formed(F.col("q"))).collect()) == [1, 3]
+    bare = good.split("<Explanation>")[0]
+    assert spark.createDataFrame([(bare,)], "q string").select(Q.well_formed(F.col("q")).alias("w")).first().w
+    judged = Q.distinct_options(df, "q", lambda: lambda prompts: ["No" if p.endswith("<Answer>B</Answer>") or "<Answer>: B" not in p else "yes" for p in prompts])
+    assert [r.id for r in judged.collect()] == [1]
     m = {r.id: r.m for r in df.select("id", Q.messages(F.col("q"), F.lit("fb")).alias("m")).collect()}
     assert m[1][1].content == "<think>\nbecause it is\n</think>\nFinal Answer: B" and m[3][1].content == "fb" and m[4][1].content == "fb"
     assert {r.id: r.a for r in df.select("id", Q.rl_answer(F.col("q")).alias("a")).collect()}[3] == "B"
@@ -112,7 +121,7 @@ def test_evaluation(spark):
     step = spark.createDataFrame([(1, 1, "checkpoint-9", "no"), (1, 1, "checkpoint-10", "yes"), (2, 1, "checkpoint-9", "yes"), (2, 1, "checkpoint-10", "no")], df.schema)
     from strandworks.operators.sampling import checkpoint_step
 
-    g = V.gains(step, checkpoint_step(F.col("model"))).first()
+    g = V.gains(step, checkpoint_step(F.col("model"))).filter("all_hops = 1").first()
     assert (g.step, g.gains, g.regressions, g.net) == (10, 1, 1, 0)
     votes = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "a", True), (3, "a", True), (3, "b", False)], "id int, judge string, accepted boolean")
     assert [r.id for r in V.unanimous(votes, "id").collect()] == [1]

@@ -21,7 +21,8 @@ def test_normal_forms(spark):
     many(spark, [("projects to", "projects_to"), ("encodes", "encodes_representation_of"), ("x", "x"), (None, None)], T.alias_relation)
     many(spark, [("b, a,,b ", ["a", "b"]), (None, []), ("", [])], T.split_ids)
     many(spark, [('  "a  b" ', "a b"), ("'x", "'x"), ('"', '"'), (None, None)], T.normalize_tail)
-    many(spark, [("abcdefgh", "ab\n...\ngh"), ("abcd", "abcd")], lambda c: T.clip_middle(c, 4))
+    many(spark, [(" abcdefgh ", "ab\n...\ngh"), (" abcd", "abcd"), (None, "")], lambda c: T.clip_middle(c, 4))
+    many(spark, [("the A, so B", "B"), ("ABC", ""), (None, ""), ("C", "C")], T.gold_letter)
 
 
 def test_answers(spark):
