@@ -11,7 +11,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.runtime import Workspace, skew_lookup, trim_all
@@ -67,12 +67,8 @@ def hubs(degrees: DataFrame, share: float = 0.01) -> DataFrame:
     return degrees.orderBy(F.col("degree").desc(), "title").limit(max(1, int(n * share)))
 
 
-def k_hop_paths(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hub_names: DataFrame) -> DataFrame:
-    """Simple directed paths of k hops from the starts.
-
-    Hubs on the path (start included) plus edges of the excepted relation are at most one;
-    after the first hop no node may be a neighbour of the start. Predicates apply at every hop.
-    """
+def _walk(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hub_names: DataFrame, beam: int | None = None, seed: str = "") -> DataFrame:
+    """``(start, at, nodes, relations, used)`` of all paths, or of at most ``beam`` per start and hop."""
     e = triples.select("source", "relation", "target").distinct()
     hub = hub_names.select(F.col(hub_names.columns[0]).alias("_h"), F.lit(1).alias("_is"))
     edges = e.join(hub, e.target == hub["_h"], "left").select("source", "relation", "target", F.coalesce("_is", F.lit(0)).alias("cost_t")).withColumn("cost", F.col("cost_t") + (F.col("relation") == excepted).cast("int"))
@@ -86,8 +82,64 @@ def k_hop_paths(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hu
         if hop > 1:
             paths = paths.join(near.withColumnRenamed("_near", "to"), ["start", "to"], "left_anti")
         paths = paths.select("start", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), (F.col("used") + F.col("cost")).alias("used"))
+        if beam and hop < k:
+            w = Window.partitionBy("start").orderBy(_path_order(seed), "nodes", "relations")
+            paths = paths.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beam).drop("_r")
+    return paths
+
+
+def _path_columns(k: int) -> list:
     out = ["start"] + [F.element_at("relations", i + 1).alias(f"hop{i + 1}") for i in range(k)] + [F.element_at("nodes", i + 2).alias("end" if i == k - 1 else ("middle" if k == 2 else f"node{i + 1}")) for i in range(k)]
-    return paths.select(*out, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.element_at("nodes", i).alias("start"), F.element_at("relations", i).alias("relation"), F.element_at("nodes", i + 1).alias("end"))).alias("steps"))
+    return [*out, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.element_at("nodes", i).alias("start"), F.element_at("relations", i).alias("relation"), F.element_at("nodes", i + 1).alias("end"))).alias("steps")]
+
+
+def k_hop_paths(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hub_names: DataFrame) -> DataFrame:
+    """Simple directed paths of k hops from the starts, all of them; ``sampled_paths`` gives one per start.
+
+    Hubs on the path (start included) plus edges of the excepted relation are at most one;
+    after the first hop no node may be a neighbour of the start. Predicates apply at every hop.
+    """
+    return _walk(triples, starts, k, excepted, hub_names).select(*_path_columns(k))
+
+
+def sampled_paths(triples: DataFrame, starts: DataFrame, k: int, excepted: str, hub_names: DataFrame, beam: int = 16, seed: str = "") -> DataFrame:
+    """One path of k hops per start, if it has any, under the rules of ``k_hop_paths``.
+
+    At every hop each start keeps at most ``beam`` paths by hash order; starts that so lose all of
+    theirs are searched in full. Rows grow with the starts, not with the product of degrees.
+    """
+    work = Workspace(triples.sparkSession, "paths")
+    found = work.cut(_best_path(_walk(triples, starts, k, excepted, hub_names, beam, seed), seed))
+    left = starts.select(F.col(starts.columns[0]).alias("start")).distinct().join(found.select("start"), "start", "left_anti")
+    return found.unionByName(_best_path(_walk(triples, work.cut(left), k, excepted, hub_names, None, seed), seed)).select(*_path_columns(k))
+
+
+def _path_order(seed: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), F.array_join("nodes", "|"), F.array_join("relations", "|")))
+
+
+def _best_path(paths: DataFrame, seed: str) -> DataFrame:
+    best = F.min_by(F.struct("nodes", "relations"), F.struct(_path_order(seed), "nodes", "relations")).alias("b")
+    return paths.groupBy("start").agg(best).select("start", "b.nodes", "b.relations")
+
+
+def source_vocabulary(lines: DataFrame, ordinal: str, name: str, overlay: DataFrame | None = None) -> DataFrame:
+    """``(id, name, frequency)``: names numbered by their line; frequencies 0 but where an overlay ``(name, frequency)`` gives one.
+
+    Names of the overlay that stand in no line have no id.
+    """
+    t = lines.select(F.col(ordinal).cast("bigint").alias("id"), F.col(name).alias("name"))
+    if overlay is None:
+        return t.withColumn("frequency", F.lit(0).cast("bigint"))
+    o = overlay.select(F.col(overlay.columns[0]).alias("name"), F.col(overlay.columns[1]).cast("bigint").alias("_f"))
+    return t.join(o, "name", "full").select("id", "name", F.coalesce("_f", F.lit(0)).alias("frequency"))
+
+
+def path_edges(paths: DataFrame, key: str, nodes: str, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``(key, place, a, b, ...)``: every step of the node lists with the columns of its edge; nulls where there is none."""
+    step = F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: F.struct(F.element_at(nodes, i).alias("a"), F.element_at(nodes, i + 1).alias("b")))
+    t = paths.filter(F.size(nodes) > 1).select(key, F.posexplode(step).alias("place", "_e")).select(key, "place", F.col("_e.a").alias(a), F.col("_e.b").alias(b))
+    return t.join(edges, [a, b], "left").select(key, "place", a, b, *[c for c in edges.columns if c not in (a, b)])
 
 
 def with_inverses(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:

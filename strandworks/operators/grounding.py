@@ -2,45 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-LEAVES, TOKENS_PER_LEAF = 512, 3
-#: Positions are capped at the last slot of a snippet.
-LAST_POSITION = 511
-
-
-def _tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}-]+"), lambda w: w != "")
-
+import bisect
+import re
+from collections.abc import Iterator
 
-def mentions(entities: DataFrame, units: DataFrame, longest: int = 6) -> DataFrame:
-    """``(snippet_id, entity, pos, token_pos)``: entities whose words stand in a text, ignoring case.
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-    Texts are cut into runs of up to ``longest`` words, which meet the titles in an equi join; no
-    text is compared with a title it does not hold. Longer titles meet by their first ``longest``
-    words and are then compared whole. ``pos`` is the first place, ``token_pos`` the
-    number of words before it, capped.
+from strandworks.functions import tokens as K
+from strandworks.runtime import Workspace, collect_bounded, spread, trim_all
+
+ROOTS, LEAVES, TOKENS_PER_LEAF, NODES = 512, 512, 3, 2048
+#: Positions are capped at the last slot of a snippet; lengths of heads too.
+LAST_POSITION, LONGEST_HEAD = 511, 32
+_RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def _finder(shared, whole_words: bool, tokenizer: str | None):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for name in shared.value:
+            automaton.add_word(name, name)
+        if len(automaton):
+            automaton.make_automaton()
+        for part in parts:
+            rows = []
+            for snippet, text in zip(part["snippet_id"], part["text"]):
+                first: dict[str, int] = {}
+                for last, name in automaton.iter(text) if len(automaton) else ():
+                    at = last + 1 - len(name)
+                    if name not in first and not (whole_words and (text[at - 1 : at].isalnum() or text[last + 1 : last + 2].isalnum())):
+                        first[name] = at
+                if not first:
+                    continue
+                if tokenizer:
+                    found = [len(e.ids) for e in K.load(tokenizer).encode_batch([text[:at] for at in first.values()], add_special_tokens=False)]
+                else:
+                    starts = [m.start() for m in _RUN.finditer(text)]
+                    found = [bisect.bisect_left(starts, at) for at in first.values()]
+                rows += [(snippet, name, at, min(n, LAST_POSITION)) for (name, at), n in zip(first.items(), found)]
+            yield pd.DataFrame(rows, columns=["snippet_id", "entity", "pos", "token_pos"])
+
+    return run
+
+
+def mentions(entities: DataFrame, units: DataFrame, whole_words: bool = False, tokenizer: str | None = None, max_titles: int = 200_000) -> DataFrame:
+    """``(snippet_id, entity, pos, token_pos)``: entities whose title stands in a text, ignoring case.
+
+    ``pos`` is the first place in characters; with ``whole_words`` only where no letter or digit adjoins.
+    ``token_pos`` is the number of tokens before it, capped: tokens of the tokenizer file, or runs
+    between white space without one. A multi-pattern automaton finds titles of any length in one narrow
+    pass over the texts; above ``max_titles`` they are split into shards with a pass each.
     """
-    e = entities.select("title", _tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
-    longest = min(longest, e.agg(F.max(F.size("w"))).first()[0] or 1)
-    whole = F.when(F.size("w") > longest, F.array_join("w", " "))
-    e = e.select("title", F.array_join(F.slice("w", 1, longest), " ").alias("k"), whole.alias("whole")).distinct()
-    t = units.select(F.col("id").alias("snippet_id"), F.col("text")).filter("text is not null")
-    w = t.select("snippet_id", _tokens(F.col("text")).alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    hits = w.select("snippet_id", F.explode(F.array_distinct(runs)).alias("k")).join(e, "k").select("snippet_id", "title", "whole")
-    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    t = hits.join(t, "snippet_id").filter(F.col("whole").isNull() | F.contains(spaced(F.array_join(_tokens(F.col("text")), " ")), spaced(F.col("whole"))))
-    t = t.withColumn("text", F.lower("text"))
-    t = t.withColumn("at", F.expr("instr(text, lower(title))")).filter("at > 0")
-    before = F.filter(F.split(F.substring("text", F.lit(1), F.col("at") - 1), r"\s+"), lambda x: x != "")
-    return t.select("snippet_id", F.lower("title").alias("entity"), (F.col("at") - 1).alias("pos"), F.least(F.size(before), F.lit(LAST_POSITION)).alias("token_pos"))
+    names = entities.select(F.lower(trim_all(F.col("title"))).alias("name")).filter("name <> ''").distinct()
+    t = spread(units.select(F.col("id").alias("snippet_id"), F.lower("text").alias("text")).filter("text is not null"))
+    count = names.count()
+    shards = max(1, -(-2 * count // max_titles) if count > max_titles else 1)
+    kind = f"snippet_id {t.schema['snippet_id'].dataType.simpleString()}, entity string, pos int, token_pos int"
+    out = None
+    for k in range(shards):
+        some = sorted(r.name for r in collect_bounded(names.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == k), max_titles, "titles of a shard"))
+        hits = t.mapInPandas(_finder(t.sparkSession.sparkContext.broadcast(some), whole_words, tokenizer), kind)
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def ground(triples: DataFrame, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One row per triple and snippet that mentions both its ends; relations outside the vocabulary are skipped."""
-    t = triples.join(F.broadcast(vocabulary.select("relation", "relation_id")), "relation")
+    t = triples.join(vocabulary.select("relation", "relation_id"), "relation")
     t = t.withColumns({"_h": F.lower("source"), "_t": F.lower("target")})
     h = found.select(F.col("entity").alias("_h"), "snippet_id", F.col("token_pos").alias("head_pos"))
     x = found.select(F.col("entity").alias("_t"), "snippet_id", F.col("token_pos").alias("tail_pos"))
@@ -51,7 +82,7 @@ def grounding_counters(triples: DataFrame, found: DataFrame, vocabulary: DataFra
     """Triples, such without their head in any snippet, (triple, snippet) pairs without the tail, and grounded pairs."""
     heads = found.select(F.col("entity").alias("_h"), "snippet_id")
     t = triples.select(key, "relation", F.lower("source").alias("_h"), F.lower("target").alias("_t"))
-    t = t.join(heads, "_h", "left").join(F.broadcast(vocabulary.select("relation", F.lit(True).alias("known"))), "relation", "left")
+    t = t.join(heads, "_h", "left").join(vocabulary.select("relation", F.lit(True).alias("known")), "relation", "left")
     tails = found.select(F.col("entity").alias("_t"), "snippet_id", F.lit(True).alias("with_tail"))
     t = t.join(tails, ["_t", "snippet_id"], "left")
     no_head = F.col("snippet_id").isNull()
@@ -69,11 +100,11 @@ def padded(a: Column, size: int, fill: int = 0) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(fill), size)), 1, size)
 
 
-def leaf_slots(ids: Column, position: Column, leaves: int = LEAVES, per_leaf: int = TOKENS_PER_LEAF) -> Column:
-    """At most ``per_leaf`` tail ids scattered to the slots of their head's position, 0 elsewhere."""
-    base = position * per_leaf
-    n = F.least(F.size(ids), F.lit(per_leaf))
-    return F.transform(F.sequence(F.lit(0), F.lit(leaves * per_leaf - 1)), lambda i: F.when((i >= base) & (i < base + n), F.get(ids, (i - base).cast("int"))).otherwise(0))
+def leaf_slots(ids: Column, position: Column, leaves: int = LEAVES, per_leaf: int = TOKENS_PER_LEAF, fill: int = 0) -> Column:
+    """At most ``per_leaf`` tail ids scattered to the slots of their head's position, ``fill`` elsewhere."""
+    kept = F.slice(ids, 1, per_leaf)
+    before = (position * per_leaf).cast("int")
+    return F.concat(F.array_repeat(F.lit(fill), before), kept, F.array_repeat(F.lit(fill), F.lit(leaves * per_leaf) - before - F.size(kept)))
 
 
 def one_hot(position: Column, value: Column, size: int = LEAVES) -> Column:
@@ -84,18 +115,66 @@ def attention(ids: Column, pad: int = 0) -> Column:
     return F.transform(ids, lambda x: (x != pad).cast("int"))
 
 
+def special_mask(ids: Column, special: list[int]) -> Column:
+    """1 where an id is a special one."""
+    return F.transform(ids, lambda x: x.isin(special).cast("int"))
+
+
+def training_samples(grounded: DataFrame, units: DataFrame, id_column: str, text: str, source: str, target: str, tokenizer: str = K.DEFAULT, pad: str = "<|endoftext|>", begin: str = "<|startoftext|>") -> DataFrame:
+    """Training arrays of grounded triples: one row per triple and snippet.
+
+    Roots are the snippet's first ids, padded; the first ids of the tail fill the slots of the head's
+    position; relation and head length stand at that position. Columns: ``input_nodes`` and
+    ``attention_mask`` (2,048), ``leaf_relationships``, ``head_lengths`` and ``start_indices`` (512),
+    ``special_tokens_mask`` (2,048). Texts and names are tokenised once each, before the joins.
+    """
+    special = K.special_ids(tokenizer, (pad, begin))
+    fill = special[pad]
+    ids = K.token_ids(tokenizer)
+    work = Workspace(grounded.sparkSession, "samples")
+    roots = work.cut(units.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("snippet_id"), F.slice(ids(text), 1, ROOTS).alias("_roots")))
+    g = work.cut(grounded.filter(F.col("head_pos") < ROOTS))
+    ends = work.cut(g.select(F.explode(F.array(source, target)).alias("_name")).distinct().withColumn("_ids", ids("_name")))
+    t = g.join(ends.select(F.col("_name").alias(source), F.size("_ids").alias("_heads")), source)
+    t = t.join(ends.select(F.col("_name").alias(target), F.col("_ids").alias("_tails")), target).join(roots, "snippet_id")
+    nodes = F.concat(padded(F.col("_roots"), ROOTS, fill), leaf_slots(F.col("_tails"), F.col("head_pos"), fill=fill))
+    t = t.withColumn("input_nodes", nodes)
+    leaf_mask = F.transform(F.slice("input_nodes", ROOTS + 1, NODES - ROOTS), lambda x: (x == fill).cast("int"))
+    return t.select(
+        *[c for c in grounded.columns],
+        "input_nodes",
+        attention(F.col("input_nodes"), fill).alias("attention_mask"),
+        one_hot(F.col("head_pos"), F.col("relation_id")).alias("leaf_relationships"),
+        one_hot(F.col("head_pos"), F.least(F.col("_heads"), F.lit(LONGEST_HEAD))).alias("head_lengths"),
+        F.array_repeat(F.lit(0), ROOTS).alias("start_indices"),
+        F.concat(special_mask(F.slice("input_nodes", 1, ROOTS), sorted(special.values())), leaf_mask).alias("special_tokens_mask"),
+    )
+
+
 def token_chunks(df: DataFrame, batch: str, ordinal: str, ids: str, size: int, first: int = 101, last: int = 102) -> DataFrame:
-    """Ids of a batch joined and cut into chunks of ``size`` with two marks.
+    """Ids of a batch joined in order and cut into chunks of ``size`` with two marks.
 
-    The rest is dropped once a batch fills a chunk; a shorter batch is one short chunk. A batch is
-    a bounded number of rows by contract.
+    The rest is dropped once a batch fills a chunk; a shorter batch is one short chunk. No batch is
+    gathered: rows are range-partitioned, each learns how many ids stand before it, and sends a slice
+    to every chunk it reaches into.
     """
     body = size - 2
-    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(ordinal), F.col(ids)))), lambda x: x[ids]))
-    t = df.groupBy(batch).agg(joined.alias("_all"))
-    n = F.when(F.size("_all") >= body, F.floor(F.size("_all") / body)).otherwise(F.when(F.size("_all") > 0, 1).otherwise(0))
-    t = t.withColumn("_n", n.cast("int")).filter("_n > 0").select(batch, "_all", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
-    return t.select(batch, "chunk", F.concat(F.array(F.lit(first)), F.slice("_all", F.col("chunk") * body + 1, F.lit(body)), F.array(F.lit(last))).alias("input_ids"))
+    work = Workspace(df.sparkSession, "chunks")
+    t = df.select(F.col(batch).alias("_b"), F.col(ordinal).alias("_o"), F.col(ids).alias("_ids"), F.size(ids).alias("_n")).filter("_n > 0")
+    t = work.cut(t.repartitionByRange("_b", "_o").sortWithinPartitions("_b", "_o").withColumn("_p", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = t.groupBy("_b", "_p").agg(F.sum("_n").alias("_s"))  # one row per batch and partition it reaches into
+    by_batch = Window.partitionBy("_b").orderBy("_p")
+    sizes = sizes.select("_b", "_p", (F.sum("_s").over(by_batch) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_b")).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy("_p", "_b").orderBy("_row")) - F.col("_n")
+    t = t.withColumn("_at", inside).join(sizes, ["_b", "_p"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    t = t.withColumn("_used", F.when(F.col("_all") >= body, F.floor(F.col("_all") / body) * body).otherwise(F.col("_all"))).filter("_at < _used")
+    end = F.least(F.col("_at") + F.col("_n"), F.col("_used"))
+    t = t.select("_b", "_at", "_ids", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_at") / body), F.floor((end - 1) / body))).alias("chunk"))
+    lo, hi = F.greatest(F.col("_at"), F.col("chunk") * body), F.least(F.col("_end"), (F.col("chunk") + 1) * body)
+    t = t.select("_b", "chunk", F.struct(lo.alias("lo"), F.slice("_ids", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part")).alias("piece"))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["part"]))
+    out = t.groupBy("_b", "chunk").agg(joined.alias("_body"))
+    return out.select(F.col("_b").alias(batch), F.col("chunk").cast("int").alias("chunk"), F.concat(F.array(F.lit(first)), "_body", F.array(F.lit(last))).alias("input_ids"))
 
 
 def masked(ids: Column, key: Column, mask_id: int, vocabulary: int, probability: float = 0.15, seed: int = 7) -> Column:
@@ -173,10 +252,25 @@ def padded_choices(choices: Column, width: int, fill: int = 0) -> Column:
 
 
 def top_k(df: DataFrame, row: str, score: str, k: int, banned: Column | None = None) -> DataFrame:
-    """Per row the k best of its scores with log-softmax over all of them; banned entries never count."""
-    from pyspark.sql import Window
-
+    """Per row the k best of its scores with log-softmax over all of them; banned entries never count. One shuffle."""
     t = df if banned is None else df.filter(~banned)
-    total = t.groupBy(row).agg(F.max(score).alias("_m")).join(t.select(row, F.col(score).alias("_s")), row).groupBy(row, "_m").agg(F.sum(F.exp(F.col("_s") - F.col("_m"))).alias("_z"))
-    ranked = t.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy(F.col(score).desc(), *[c for c in t.columns if c not in (row, score)]))).filter(F.col("rank") <= k)
-    return ranked.join(total, row).withColumn("log_probability", F.col(score) - F.col("_m") - F.log("_z")).drop("_m", "_z")
+    rest = [c for c in t.columns if c not in (row, score)]
+    whole = Window.partitionBy(row)
+    t = t.withColumn("rank", F.row_number().over(whole.orderBy(F.col(score).desc(), *rest))).withColumn("_m", F.max(score).over(whole))
+    t = t.withColumn("_z", F.sum(F.exp(F.col(score) - F.col("_m"))).over(whole)).filter(F.col("rank") <= k)
+    return t.withColumn("log_probability", F.col(score) - F.col("_m") - F.log("_z")).drop("_m", "_z")
+
+
+def masked_spans(ids: Column, spans: Column, key: Column, mask_id: int, vocabulary: int, seed: int = 7) -> Column:
+    """Structs (input, label) of span masking: each (start, stop) span, stop inclusive, is masked whole in 80 %, replaced
+    by random ids in 10 % and kept in 10 % of the cases; label -100 outside of spans."""
+    h = lambda salt, *c: F.pmod(F.xxhash64(key, *c, F.lit(seed * 37 + salt)), F.lit(1_000_000)) / 1e6
+
+    def one(x, i):
+        mine = F.try_element_at(F.filter(spans, lambda s: (s["start"] <= i) & (i <= s["stop"])), F.lit(1))
+        u = h(1, mine["start"])
+        other = F.pmod(F.xxhash64(key, i, F.lit(seed * 37 + 2)), F.lit(vocabulary)).cast("int")
+        new = F.when(u < 0.8, F.lit(mask_id)).when(u < 0.9, other).otherwise(x)
+        return F.struct(F.when(mine.isNotNull(), new).otherwise(x).alias("input"), F.when(mine.isNotNull(), x).otherwise(F.lit(-100)).alias("label"))
+
+    return F.transform(ids, one)

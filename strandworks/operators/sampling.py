@@ -31,9 +31,40 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int | None = None) -> Dat
     return df.orderBy(*hash_order(F.col(key), seed)).limit(n)
 
 
-def weighted_sample(df: DataFrame, key: str, frequency: str, n: int, seed: int = 42) -> DataFrame:
+def first_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The n rows of the smallest ordinals, all if there are fewer; n of 0 and less means all: a distributed top-k."""
+    return df.orderBy(ordinal).limit(n) if n > 0 else df
+
+
+def last_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The n rows of the greatest ordinals, all if there are fewer; n of 0 and less means all."""
+    return df.orderBy(F.col(ordinal).desc()).limit(n) if n > 0 else df
+
+
+def requeued(df: DataFrame, key: str, target: int, attempts: int = 5, seed: str = "") -> DataFrame:
+    """``(attempt, round, ...)``: the first ``attempts`` x ``target`` draws from a list that is shuffled anew whenever it is used up.
+
+    Rows that were accepted are for the caller to skip; the work ends at the target or with the last draw.
+    """
+    from strandworks.operators.merge import numbered
+
+    n, draws = df.count(), target * attempts
+    rounds = -(-draws // n) if n else 0
+    t = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0)))))
+    t = t.withColumn("_order", F.md5(F.concat_ws("|", F.lit(seed), "round", F.col(key).cast("string"))))
+    return numbered(t, ["round", "_order", key], "attempt").filter(F.col("attempt") < draws).drop("_order")
+
+
+def uniform(key: Column, seed: int | None = None) -> Column:
+    """A fixed pseudo-random number in (0, 1) of each key; without a seed from its md5, which other engines share."""
+    if seed is None:
+        return (F.conv(F.left(F.md5(key.cast("string")), F.lit(8)), 16, 10).cast("double") + 0.5) / float(2**32)
+    return (F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(2**53)) + 0.5) / float(2**53)
+
+
+def weighted_sample(df: DataFrame, key: str, frequency: str, n: int, seed: int | None = 42) -> DataFrame:
     """n rows without replacement, weights 1 / (frequency + 1e-10): smallest exponential keys win."""
-    u = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(2**53)) + 0.5) / float(2**53)
+    u = uniform(F.col(key), seed)
     return df.withColumn("_e", -F.log(u) * (F.coalesce(F.col(frequency), F.lit(0)) + 1e-10)).orderBy("_e", key).limit(n).drop("_e")
 
 
@@ -58,9 +89,9 @@ def percent_split(df: DataFrame, ordinal: str, percent: int = 5) -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("is_validation", F.col(ordinal) < F.floor(F.col("_n") * percent / 100)).drop("_n")
 
 
-def random_split(df: DataFrame, key: str, test: float, seed: int = 42) -> DataFrame:
-    """Marks about ``test`` of the rows by a seeded hash; independent of partitioning."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(test * 1_000_000))
+def random_split(df: DataFrame, key: str, test: float, seed: int | None = 42) -> DataFrame:
+    """Marks about ``test`` of the rows by a hash of their key; independent of partitioning."""
+    return df.withColumn("is_test", uniform(F.col(key), seed) < test)
 
 
 def interleave(tables: list[DataFrame], ordinal: str) -> DataFrame:

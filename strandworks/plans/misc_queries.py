@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import text as T
+from strandworks.functions import tokens as K
 from strandworks.functions.scoring import judged_by_all, score
 from strandworks.operators import graph as G
 from strandworks.operators import grounding as R
@@ -13,7 +14,8 @@ from strandworks.operators import qa as Q
 from strandworks.operators import records as P
 from strandworks.operators import sampling as S
 from strandworks.plans.kg_queries import _DEG, _TRIM, COERCED, triples
-from strandworks.plans.qa_queries import _COMP, _FIELDS, _completions, items, text_of
+from strandworks.plans.qa_queries import _COMP, _FIELDS, _UNIFORM, _completions, items, text_of
+from strandworks.plans.text_queries import _MENTIONS, found
 from strandworks.runtime import table
 from strandworks.sources.tables import chunk_texts, remaining, run_tag
 
@@ -103,12 +105,13 @@ SQL["n33_validation_prompts"] = f"""WITH {_FIELDS} SELECT item_id, md5('Path: '
 
 @query
 def n34_run_tags(spark, sf_dir):
-    """Tag of the input files of each text length class."""
-    t = table(spark, sf_dir, "text_units").groupBy((F.col("ordinal") % 5).alias("part")).agg(F.collect_set("document_id").alias("d"))
-    return t.select("part", run_tag(F.col("d")).alias("tag"))
+    """Tags of the input files in short and long form, each alone and with its first unit."""
+    t = table(spark, sf_dir, "text_units").filter("document_id is not null").groupBy("document_id").agg(F.min("id").alias("first_id"))
+    one = F.array("document_id")
+    return t.select("document_id", run_tag(one).alias("tag"), run_tag(one, 16).alias("long_tag"), run_tag(F.array("first_id", "document_id")).alias("pair_tag"))
 
 
-SQL["n34_run_tags"] = "SELECT ordinal % 5 AS part, left(md5(array_to_string(list_sort(list_distinct(list(document_id))), chr(10))), 10) AS tag FROM text_units GROUP BY 1"
+SQL["n34_run_tags"] = "SELECT document_id, left(md5(document_id), 10) AS tag, left(md5(document_id), 16) AS long_tag, left(md5(least(min(id), document_id) || chr(10) || greatest(min(id), document_id)), 10) AS pair_tag FROM text_units WHERE document_id IS NOT NULL GROUP BY document_id"
 
 
 @query
@@ -196,6 +199,9 @@ def y12_word_starts(spark, sf_dir):
     return t.select("row_no", F.size(F.filter(R.word_starts(F.col("w")), lambda x: x)).alias("starts"))
 
 
+SQL["y12_word_starts"] = r"SELECT row_no, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: NOT starts_with(w, '##') AND regexp_matches(w, '^[\p{L}\p{N}]'))) AS INT) AS starts FROM text_units WHERE text IS NOT NULL"
+
+
 @query
 def k5_percent_split(spark, sf_dir):
     """First twentieth of the predictions as validation part."""
@@ -230,13 +236,14 @@ SQL["k15_checkpoints"] = "SELECT 'checkpoint-' || (run_id * 10) AS name, run_id
 @query
 def j7_head_positions(spark, sf_dir):
     """Predictions with the first place of their head in the text units of the same words."""
-    from strandworks.plans.text_queries import found
-
     first = found(spark, sf_dir).groupBy("entity").agg(F.min(F.struct("token_pos", "snippet_id")).alias("m"))
     p = table(spark, sf_dir, "predictions").select("row_no", F.lower("head").alias("entity"))
     return p.join(first, "entity").select("row_no", "m.token_pos", "m.snippet_id")
 
 
+SQL["j7_head_positions"] = f"WITH {_MENTIONS}, f AS (SELECT entity, token_pos, snippet_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY token_pos, snippet_id) AS k FROM me) WHERE k = 1) SELECT row_no, token_pos, snippet_id FROM predictions JOIN f ON f.entity = lower(head)"
+
+
 @query
 def j11_remaining(spark, sf_dir):
     """Items left for a run that has finished those of at most two hops."""
@@ -264,7 +271,10 @@ def g7_sampled_starts(spark, sf_dir):
     from strandworks.operators.merge import degrees
 
     e = table(spark, sf_dir, "final_entities").select(F.lower("title").alias("title")).distinct().join(degrees(triples(spark, sf_dir)), "title")
-    return S.weighted_sample(e, "title", "degree", 20)
+    return S.weighted_sample(e, "title", "degree", 20, None)
+
+
+SQL["g7_sampled_starts"] = f"WITH {COERCED}, {_DEG}, e AS (SELECT DISTINCT lower(title) AS title FROM final_entities) SELECT title, degree FROM e JOIN dg USING (title) ORDER BY -ln({_UNIFORM.format('title')}) * (degree + 1e-10), title LIMIT 20"
 
 
 @query
@@ -303,3 +313,82 @@ def x1_batched_map(spark, sf_dir):
     """A batched function over text units that keeps rows and columns."""
     t = table(spark, sf_dir, "text_units").select("row_no", "text")
     return score(t, "text", "reply", _counter).select("row_no", F.col("reply").cast("int").alias("words"))
+
+
+SQL["x1_batched_map"] = r"SELECT row_no, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+'), lambda w: w <> '')) AS INT) AS words FROM text_units"
+
+
+@query
+def y1_token_ids(spark, sf_dir):
+    """Subword ids of text units: their number, the first and the last."""
+    t = table(spark, sf_dir, "text_units").filter("text is not null").select("row_no", K.token_ids()("text").alias("ids"))
+    return t.select("row_no", F.size("ids").alias("tokens"), F.try_element_at("ids", F.lit(1)).alias("first_id"), F.try_element_at("ids", F.lit(-1)).alias("last_id"))
+
+
+@query
+def m7_truncated_tokens(spark, sf_dir):
+    """Length of text units cut to 100 subword tokens."""
+    t = table(spark, sf_dir, "text_units").filter("text is not null")
+    return t.select("row_no", F.length(K.truncated(most=100)("text")).alias("n_chars"))
+
+
+@query
+def n16_token_positions(spark, sf_dir):
+    """Places of entities in their text units in subword tokens."""
+    e, u = table(spark, sf_dir, "final_entities").select("title"), table(spark, sf_dir, "text_units").select("id", "text")
+    return R.mentions(e, u, tokenizer=K.DEFAULT)
+
+
+@query
+def r7_training_samples(spark, sf_dir):
+    """Sums over the arrays of the training samples of grounded triples."""
+    from strandworks.plans.text_queries import grounded
+
+    u = table(spark, sf_dir, "text_units").select("id", "text")
+    t = R.training_samples(grounded(spark, sf_dir), u, "id", "text", "source", "target")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return t.select("h", "snippet_id", F.size("input_nodes").alias("nodes"), total("attention_mask").alias("attended"), total("leaf_relationships").alias("relation_id"), total("head_lengths").alias("head_length"), total("special_tokens_mask").alias("special"))
+
+
+@query
+def r8_subword_chunks(spark, sf_dir):
+    """Subword ids of text units joined per input file and cut into chunks of 512."""
+    t = table(spark, sf_dir, "text_units").filter("text is not null").select("document_id", "row_no", K.token_ids()("text").alias("ids"))
+    special = K.special_ids(K.DEFAULT, ("<|startoftext|>", "<|endoftext|>"))
+    c = R.token_chunks(t, "document_id", "row_no", "ids", 512, *special.values())
+    return c.select("document_id", "chunk", F.size("input_ids").alias("n"), F.element_at("input_ids", 2).alias("first_id"))
+
+
+@query
+def y8_source_vocabulary(spark, sf_dir):
+    """Entities as vocabulary lines with the frequencies of a graph laid over."""
+    from strandworks.operators.merge import degrees
+
+    e = table(spark, sf_dir, "final_entities").select("human_readable_id", F.lower("title").alias("title"))
+    return G.source_vocabulary(e, "human_readable_id", "title", degrees(triples(spark, sf_dir)))
+
+
+SQL["y8_source_vocabulary"] = f"WITH {COERCED}, {_DEG} SELECT e.human_readable_id AS id, coalesce(lower(e.title), dg.title) AS name, coalesce(dg.degree, 0) AS frequency FROM final_entities e FULL JOIN dg ON dg.title = lower(e.title)"
+
+
+@query
+def g9_path_edges(spark, sf_dir):
+    """Steps of the items' node lists with the relation of their edge."""
+    t = items(spark, sf_dir).filter(F.size("paths") > 0).select("item_id", F.concat(F.array(F.col("paths")[0]["start"]), F.transform("paths", lambda s: s["end"])).alias("nodes"))
+    e = items(spark, sf_dir).select(F.explode("paths").alias("s")).groupBy(F.col("s.start").alias("a"), F.col("s.end").alias("b")).agg(F.min("s.relation").alias("relation"))
+    return G.path_edges(t, "item_id", "nodes", e, "a", "b")
+
+
+SQL["g9_path_edges"] = """WITH s AS (SELECT item_id, unnest(paths) AS s FROM eval_items), e AS (SELECT s.start AS a, s."end" AS b, min(s.relation) AS relation FROM s GROUP BY 1, 2),
+n AS (SELECT item_id, list_concat([paths[1].start], list_transform(paths, lambda s: s."end")) AS n FROM eval_items WHERE len(paths) > 0), p AS (SELECT item_id, unnest(range(len(n) - 1)) AS place, n FROM n)
+SELECT item_id, CAST(place AS INT) AS place, n[place + 1] AS a, n[place + 2] AS b, e.relation FROM p LEFT JOIN e ON e.a = n[place + 1] AND e.b = n[place + 2]"""
+
+
+@query
+def g4_sampled_paths(spark, sf_dir):
+    """One path of three hops from every well-connected entity that has any."""
+    from strandworks.operators.merge import degrees
+    from strandworks.plans.kg_queries import _seeds
+
+    t = triples(spark, sf_dir)
+    return G.sampled_paths(t, _seeds(spark, sf_dir), 3, "stores", G.hubs(degrees(t)).select("title")).select("start", "hop1", "hop2", "hop3", "end")

@@ -256,7 +256,11 @@ SQL["k7_sampled_items"] = "SELECT item_id FROM eval_items ORDER BY md5(CAST(item
 @query
 def k6_random_split(spark, sf_dir):
     """Seeded random split."""
-    return S.random_split(items(spark, sf_dir).select("item_id"), "item_id", 0.1)
+    return S.random_split(items(spark, sf_dir).select("item_id"), "item_id", 0.1, None)
+
+
+_UNIFORM = "((CAST('0x' || left(md5(CAST({0} AS VARCHAR)), 8) AS BIGINT) + 0.5) / 4294967296.0)"
+SQL["k6_random_split"] = f"SELECT item_id, {_UNIFORM.format('item_id')} < 0.1 AS is_test FROM eval_items"
 
 
 @query
@@ -285,4 +289,27 @@ SQL["y7_distinct_options"] = SQL["f10_well_formed"].replace("SELECT item_id, CAS
 @query
 def k11_weighted_sample(spark, sf_dir):
     """Fifty entities, rarer ones likelier."""
-    return S.weighted_sample(table(spark, sf_dir, "final_entities").select("title", "degree"), "title", "degree", 50)
+    return S.weighted_sample(table(spark, sf_dir, "final_entities").select("title", "degree"), "title", "degree", 50, None)
+
+
+SQL["k11_weighted_sample"] = f"SELECT title, degree FROM final_entities ORDER BY -ln({_UNIFORM.format('title')}) * (coalesce(degree, 0) + 1e-10), title LIMIT 50"
+
+
+@query
+def f13_subsets(spark, sf_dir):
+    """The first hundred items and the last fifty: the subset switch of a trial run."""
+    t = items(spark, sf_dir).select("item_id")
+    return S.first_rows(t, "item_id", 100).withColumn("part", F.lit("first")).unionByName(S.last_rows(t, "item_id", 50).withColumn("part", F.lit("last")))
+
+
+SQL["f13_subsets"] = "(SELECT item_id, 'first' AS part FROM eval_items ORDER BY item_id LIMIT 100) UNION ALL (SELECT item_id, 'last' FROM eval_items ORDER BY item_id DESC LIMIT 50)"
+
+
+@query
+def k12_requeued(spark, sf_dir):
+    """Draws of items of two and three hops for a target of 150: five times as many, shuffled anew when used up."""
+    t = items(spark, sf_dir).filter("k_hops between 2 and 3").select("item_id")
+    return S.requeued(t, "item_id", 150)
+
+
+SQL["k12_requeued"] = "WITH t AS (SELECT item_id FROM eval_items WHERE k_hops BETWEEN 2 AND 3), r AS (SELECT item_id, CAST(r AS INT) AS round FROM t, range(CAST(ceil(750.0 / greatest(1, (SELECT count(*) FROM t))) AS BIGINT)) x(r)), n AS (SELECT *, row_number() OVER (ORDER BY round, md5('|' || round || '|' || item_id), item_id) - 1 AS attempt FROM r) SELECT attempt, round, item_id FROM n WHERE attempt < 750"

@@ -277,11 +277,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mentions(table(spark, sf_dir, "final_entities").select("title"), table(spark, sf_dir, "text_units").select("id", "text"))
 
 
-_MENTIONS = r"""me AS (SELECT u.id AS snippet_id, lower(title) AS entity, strpos(lower(text), lower(title)) - 1 AS pos,
-  CAST(least(len(list_filter(regexp_split_to_array(left(lower(text), strpos(lower(text), lower(title)) - 1), '\s+'), lambda w: w <> '')), 511) AS INT) AS token_pos
-  FROM (SELECT DISTINCT title, trim(regexp_replace(lower(title), '[^\p{L}\p{N}-]+', ' ', 'g'), ' ') AS k FROM final_entities) e
-  JOIN (SELECT id, text, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}-]+', ' ', 'g'), ' ') || ' ' AS k FROM text_units) u ON contains(u.k, ' ' || e.k || ' ')
-  WHERE e.k <> '' AND len(string_split(e.k, ' ')) <= 6 AND contains(lower(text), lower(title)))"""
+_MENTIONS = r"""me AS (SELECT u.id AS snippet_id, name AS entity, strpos(lower(text), name) - 1 AS pos,
+  CAST(least(len(list_filter(regexp_split_to_array(left(lower(text), strpos(lower(text), name) - 1), '\s+'), lambda w: w <> '')), 511) AS INT) AS token_pos
+  FROM (SELECT DISTINCT lower(regexp_replace(title, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')) AS name FROM final_entities) e
+  JOIN text_units u ON contains(lower(u.text), e.name) WHERE e.name <> '')"""
 
 
 @query
@@ -293,10 +292,15 @@ def n15_mentions(spark, sf_dir):
 SQL["n15_mentions"] = f"WITH {_MENTIONS} SELECT * FROM me"
 
 
+def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.ground(triples(spark, sf_dir), found(spark, sf_dir), table(spark, sf_dir, "relation_map"))
+    return t.select(F.col("ord.n").alias("h"), "snippet_id", "source", "target", "relation_id", "head_pos", "tail_pos")
+
+
 @query
 def j4_grounded(spark, sf_dir):
     """Triples with the snippets that mention both ends."""
-    return R.ground(triples(spark, sf_dir), found(spark, sf_dir), table(spark, sf_dir, "relation_map")).select(F.col("ord.n").alias("h"), "snippet_id", "relation_id", "head_pos", "tail_pos")
+    return grounded(spark, sf_dir).drop("source", "target")
 
 
 SQL["j4_grounded"] = f"WITH {COERCED}, {_MENTIONS} SELECT va.h, a.snippet_id, relation_id, a.token_pos AS head_pos, b.token_pos AS tail_pos FROM va JOIN relation_map USING (relation) JOIN me a ON a.entity = lower(va.source) JOIN me b ON b.entity = lower(va.target) AND b.snippet_id = a.snippet_id"
@@ -315,14 +319,14 @@ SELECT count(DISTINCT h) AS total, count(DISTINCT h) FILTER (snippet_id IS NULL)
 
 @query
 def r6_sample_arrays(spark, sf_dir):
-    """Training arrays of grounded triples: sums over slots stand for the arrays."""
-    g = j4_grounded(spark, sf_dir)
-    ids = F.array(F.lit(11), F.lit(12), F.lit(13), F.lit(14))
-    leaves = R.leaf_slots(ids, F.col("head_pos"))
-    return g.select("h", "snippet_id", F.size(leaves).cast("int").alias("slots"), F.get(leaves, F.col("head_pos") * 3 + 2).alias("third"), F.aggregate(leaves, F.lit(0), lambda a, x: a + x).alias("total"), F.array_position(R.one_hot(F.col("head_pos"), F.col("relation_id")), F.col("relation_id")).cast("int").alias("hot"))
+    """Leaf slots of grounded triples, word lengths standing for ids: their sum, the first and the place of the relation."""
+    ids = F.transform(F.split("target", " "), lambda w: F.length(w) + 1)
+    t = grounded(spark, sf_dir).withColumn("leaves", R.leaf_slots(ids, F.col("head_pos")))
+    hot = F.array_position(R.one_hot(F.col("head_pos"), F.col("relation_id")), F.col("relation_id"))
+    return t.select("h", "snippet_id", F.size("leaves").alias("slots"), F.get("leaves", F.col("head_pos") * 3).alias("first_id"), F.aggregate("leaves", F.lit(0), lambda a, x: a + x).alias("total"), hot.cast("int").alias("hot"))
 
 
-SQL["r6_sample_arrays"] = SQL["j4_grounded"].replace("SELECT va.h, a.snippet_id, relation_id, a.token_pos AS head_pos, b.token_pos AS tail_pos", 'SELECT va.h, a.snippet_id, CAST(1536 AS INT) AS slots, 13 AS third, 36 AS total, CAST(a.token_pos + 1 AS INT) AS hot')
+SQL["r6_sample_arrays"] = SQL["j4_grounded"].replace("SELECT va.h, a.snippet_id, relation_id, a.token_pos AS head_pos, b.token_pos AS tail_pos", "SELECT va.h, a.snippet_id, CAST(1536 AS INT) AS slots, CAST(length(string_split(target, ' ')[1]) + 1 AS INT) AS first_id, CAST(list_sum(list_transform(string_split(target, ' ')[1:3], lambda w: length(w) + 1)) AS INT) AS total, CAST(a.token_pos + 1 AS INT) AS hot")
 
 
 @query

@@ -7,6 +7,7 @@ so that any executor can read it again after another one is lost.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,13 +27,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder that all executors share. A local one is set only where the session names none (tests)."""
+    """Folder that all executors share. A local one is set only where the session names none and runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("the session names no shared folder: set spark.checkpoint.dir")
     local = "file://" + tempfile.mkdtemp(prefix="strandworks-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local

@@ -71,6 +71,34 @@ def test_paths_against_search(spark):
     assert sorted((tuple([p.steps[0].start, *[s.end for s in p.steps]]), tuple(s.relation for s in p.steps)) for p in got) == want
 
 
+def test_sampled_paths(spark):
+    """One valid path for every start that has any, also where the beam loses all of a start's paths."""
+    r = random.Random(11)
+    triples = sorted({(f"n{r.randrange(12)}", "a", f"n{r.randrange(12)}") for _ in range(40)})
+    df = spark.createDataFrame([t for t in triples if t[0] != t[2]], "source string, relation string, target string")
+    starts, hubs = spark.createDataFrame([(f"n{i}",) for i in range(12)], "s string"), spark.createDataFrame([("n1",)], "h string")
+    every = {}
+    for p in G.k_hop_paths(df, starts, 3, "stores", hubs).collect():
+        every.setdefault(p.start, set()).add(tuple(s.end for s in p.steps))
+    for beam in (1, 16):
+        got = {p.start: tuple(s.end for s in p.steps) for p in G.sampled_paths(df, starts, 3, "stores", hubs, beam).collect()}
+        assert set(got) == set(every) and all(got[s] in every[s] for s in got)
+
+
+def test_draws_and_subsets(spark):
+    df = spark.range(10).select(F.col("id").alias("k"))
+    rows = S.requeued(df, "k", 5).orderBy("attempt").collect()
+    assert [r.attempt for r in rows] == list(range(25)) and [sorted(r.k for r in rows[a : a + 10]) for a in (0, 10)] == [list(range(10))] * 2
+    assert S.requeued(df.limit(0), "k", 5).count() == 0
+    assert sorted(r.k for r in S.first_rows(df, "k", 3).collect()) == [0, 1, 2] and sorted(r.k for r in S.last_rows(df, "k", 3).collect()) == [7, 8, 9] and S.first_rows(df, "k", 0).count() == 10
+    lines = spark.createDataFrame([(0, "a"), (1, "b")], "n int, w string")
+    over = spark.createDataFrame([("b", 5), ("z", 2)], "w string, f int")
+    assert sorted(map(str, G.source_vocabulary(lines, "n", "w", over).collect())) == sorted(map(str, [*G.source_vocabulary(lines.limit(1), "n", "w").collect(), *spark.createDataFrame([(1, "b", 5), (None, "z", 2)], "id bigint, name string, frequency bigint").collect()]))
+    edges = spark.createDataFrame([("x", "y", 3)], "a string, b string, w int")
+    paths = spark.createDataFrame([(1, ["x", "y", "q"]), (2, ["x"])], "id int, n array<string>")
+    assert sorted(map(tuple, G.path_edges(paths, "id", "n", edges, "a", "b").collect()), key=str) == [(1, 0, "x", "y", 3), (1, 1, "y", "q", None)]
+
+
 def test_matrices():
     m = np.zeros((5, 5), int)
     for a, b in ((0, 1), (1, 2), (2, 3)):

@@ -50,7 +50,8 @@ def test_json(spark):
 def test_grounding(spark):
     e = spark.createDataFrame([("Big Cell",), ("axon",), ("",), ("lost",)], "title string")
     u = spark.createDataFrame([("s1", "An axon of the big cell; Axon."), ("s2", "Axons only"), ("s3", None)], "id string, text string")
-    m = R.mentions(e, u)
+    assert sorted((r.snippet_id, r.entity, r.pos, r.token_pos) for r in R.mentions(e, u, max_titles=2).collect()) == [("s1", "axon", 3, 1), ("s1", "big cell", 15, 4), ("s2", "axon", 0, 0)]
+    m = R.mentions(e, u, whole_words=True)
     assert sorted((r.snippet_id, r.entity, r.pos, r.token_pos) for r in m.collect()) == [("s1", "axon", 3, 1), ("s1", "big cell", 15, 4)]
     t = spark.createDataFrame([(1, "axon", "big CELL", "feeds"), (2, "axon", "lost", "feeds"), (3, "zz", "axon", "feeds"), (4, "axon", "axon", "odd")], "h int, source string, target string, relation string")
     v = spark.createDataFrame([("feeds", 7)], "relation string, relation_id int")
@@ -135,5 +136,60 @@ def test_mentions_of_long_titles(spark):
     long = "One two three four five six seven eight"
     e = spark.createDataFrame([(long,), ("two three",)], "title string")
     u = spark.createDataFrame([("a", "Say " + long.lower() + "."), ("b", "One two three four five six seven"), ("c", long + "een"), ("d", None)], "id string, text string")
-    got = sorted((r.snippet_id, r.entity, r.pos, r.token_pos) for r in R.mentions(e, u).collect())
+    got = sorted((r.snippet_id, r.entity, r.pos, r.token_pos) for r in R.mentions(e, u, whole_words=True).collect())
     assert got == [("a", long.lower(), 4, 1), ("a", "two three", 8, 2), ("b", "two three", 4, 1), ("c", "two three", 4, 1)]
+
+
+def test_chunks_of_a_hot_batch(spark):
+    """A batch that holds most ids is cut like any other, in its order."""
+    import random
+
+    r = random.Random(4)
+    rows = [("hot" if i % 5 else f"b{i % 3}", i, [r.randrange(1000) for _ in range(r.randrange(0, 40))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "b string, o int, ids array<int>").repartition(9)
+    want = {}
+    for b in {x[0] for x in rows}:
+        ids = [v for x in sorted(x for x in rows if x[0] == b) for v in x[2]]
+        n = len(ids) // 14 if len(ids) >= 14 else int(bool(ids))
+        want |= {(b, k): [1, *ids[k * 14 : k * 14 + 14], 2] for k in range(n)}
+    assert {(x.b, x.chunk): x.input_ids for x in R.token_chunks(df, "b", "o", "ids", 16, 1, 2).collect()} == want
+    assert R.token_chunks(df.limit(0), "b", "o", "ids", 16).count() == 0
+
+
+def test_training_samples(spark):
+    from strandworks.functions import tokens as K
+
+    g = spark.createDataFrame([(1, "s1", "axon", "big cell body part", 7, 2), (2, "s1", "axon", "x", 9, 600)], "h int, snippet_id string, source string, target string, relation_id int, head_pos int")
+    u = spark.createDataFrame([("s1", "An axon of the big cell body part."), ("s2", None)], "id string, text string")
+    t = K.load(K.DEFAULT)
+    pad, begin = t.token_to_id("<|endoftext|>"), t.token_to_id("<|startoftext|>")
+    rows = R.training_samples(g, u, "id", "text", "source", "target").collect()
+    assert [r.h for r in rows] == [1]
+    r = rows[0]
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    roots = (ids("An axon of the big cell body part.") + [pad] * 512)[:512]
+    leaves = [pad] * 1536
+    leaves[6:9] = ids("big cell body part")[:3]
+    assert r.input_nodes == roots + leaves and r.attention_mask == [int(x != pad) for x in roots + leaves]
+    assert r.leaf_relationships == [7 if i == 2 else 0 for i in range(512)] and r.head_lengths[2] == len(ids("axon")) and sum(r.head_lengths) == r.head_lengths[2]
+    assert r.start_indices == [0] * 512 and r.special_tokens_mask == [int(x in (pad, begin)) for x in roots] + [int(x == pad) for x in leaves]
+    assert K.special_ids(K.DEFAULT, ("<|endoftext|>",)) == {"<|endoftext|>": pad}
+    import pytest
+
+    with pytest.raises(ValueError):
+        K.special_ids(K.DEFAULT, ("[PAD]", "[MASK]"))
+    texts = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "n int, t string")
+    assert {x.n: x.c for x in texts.select("n", K.truncated(most=2)("t").alias("c")).collect()} == {1: "one two", 2: None, 3: ""}
+    assert {x.n: len(x.c) for x in texts.select("n", K.token_texts()("t").alias("c")).collect()} == {1: 4, 2: 0, 3: 0}
+
+
+def test_span_masking(spark):
+    ids = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i + 100)
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((1, 3), (7, 7))])
+    rows = spark.range(400).select(R.masked_spans(ids, spans, F.col("id"), 1, 50).alias("m")).collect()
+    whole = 0
+    for r in rows:
+        assert [x.label for x in r.m] == [100 + i if i in (1, 2, 3, 7) else -100 for i in range(10)]
+        assert all(x.input == 100 + i for i, x in enumerate(r.m) if i not in (1, 2, 3, 7))
+        whole += all(r.m[i].input == 1 for i in (1, 2, 3))
+    assert 280 < whole < 360

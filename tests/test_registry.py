@@ -27,6 +27,23 @@ def test_core_imports_no_llm():
             assert "strandworks.llm" not in p.read_text(), p
 
 
+def test_only_absence_is_excused():
+    """A fault inside the training-data part is an error, not fewer queries."""
+    code = "import sys; sys.modules['strandworks.llm.queries'] = None; import __spark_entry__ as e; e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode != 0 if (ROOT / "strandworks" / "llm").exists() else True
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from strandworks.runtime import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master)))
+
+
 def test_flagship(spark):
     from strandworks.plans import registry
 

@@ -57,6 +57,30 @@ def test_json_and_shards(spark, tmp_path):
     assert len(spark.range(1).select(S.run_tag(F.array(F.lit("b"), F.lit("a"))).alias("t")).collect()[0].t) == 10
 
 
+def test_new_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, 'a "x"', 1.5), (3, None, 2.0)], "n int, s string, w double")
+    S.write_json_array(df, str(tmp_path / "array"), ["n"])
+    files = [p for p in (tmp_path / "array").iterdir() if p.name.startswith("part")]
+    assert len(files) == 1 and json.loads(files[0].read_text()) == [{"n": 1, "s": 'a "x"', "w": 1.5}, {"n": 2, "s": "b", "w": None}, {"n": 3, "s": None, "w": 2.0}]
+    S.write_json_array(df.limit(0), str(tmp_path / "none"), ["n"])
+    assert json.loads(next(p for p in (tmp_path / "none").iterdir() if p.name.startswith("part")).read_text()) == []
+    for k in (0, 10):
+        spark.range(k, k + 2).write.parquet(str(tmp_path / "chunks" / f"chunk_{k}"))
+    assert sorted(map(tuple, S.read_chunks(spark, str(tmp_path / "chunks")).collect())) == [(0, 0), (1, 0), (10, 10), (11, 10)]
+    seen = []
+
+    def work(t):
+        seen.append(t.count())
+        return t.withColumn("r", F.lit("x"))
+
+    S.resume(df.filter("n < 3"), str(tmp_path / "done"), ["n"], work)
+    assert S.resume(df, str(tmp_path / "done"), ["n"], work).count() == 3 and seen == [2, 1]
+    S.write_csv(spark.createDataFrame([(" a ", 1.0)], "source string, weight double"), str(tmp_path / "typed.csv"))
+    assert tuple(S.read_triples(spark, str(tmp_path / "typed.csv"), "source string, weight double").first()) == (" a ", 1.0)
+    S.write_statistics(df.agg(F.count(F.lit(1)).alias("rows")), str(tmp_path / "stats"))
+    assert spark.read.json(str(tmp_path / "stats")).first().rows == 3
+
+
 def _upper():
     return lambda prompts: [p.upper() if p else None for p in prompts]
 
