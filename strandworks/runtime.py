@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as trimmed everywhere: ASCII, vertical tab, separators, NEL, all Unicode space characters.
@@ -66,12 +66,15 @@ class Workspace:
         self.n = 0
         _made.append((spark, self.root))
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **observed: Column) -> DataFrame:
+        """The table, written. Aggregates named in ``observed`` are taken in passing, into ``_observed`` of the result."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        seen = Observation(f"{uuid.uuid4().hex}")
+        (df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df).write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._work_path = path
+        kept._observed = seen.get if observed else {}
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
@@ -103,11 +106,25 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a table was measured to be within the broadcast bounds: its rows are counted, its texts' bytes summed."""
+    seen = getattr(df, "_observed", None) or {}
+    if "_rows" not in seen:
+        seen = df.agg(*[c.alias(n) for n, c in sizes_of(df).items()]).first().asDict()
+    return seen["_rows"] <= rows and (seen["_bytes"] or 0) <= size
+
+
+def sizes_of(df: DataFrame) -> dict[str, Column]:
+    """Aggregates by which ``fits_broadcast`` judges a table: rows and bytes. ``cut`` takes them in passing."""
     width = F.lit(0).cast("bigint")
     for f in df.schema:
         width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16))
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return r.n <= rows and r.b <= size
+    return {"_rows": F.count(F.lit(1)), "_bytes": F.sum(width)}
+
+
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of a written table under other names, with what was observed of it."""
+    out = df.toDF(*names)
+    out._observed = getattr(df, "_observed", {})
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
