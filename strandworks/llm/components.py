@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.runtime import Workspace, skew_lookup
+from strandworks.runtime import Workspace, fits_broadcast, renamed, sizes_of, skew_lookup
 
 
 def connected_groups(pairs: DataFrame, source: str, target: str) -> DataFrame:
@@ -31,16 +31,17 @@ def connected_groups(pairs: DataFrame, source: str, target: str) -> DataFrame:
     work = Workspace(spark, "components")
     a, b = F.col(source).cast("string"), F.col(target).cast("string")
     edges = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    edges = work.cut(edges)
+    edges = work.cut(edges, n=F.count(F.lit(1)))
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges._observed.get("n", 0):
         roots = _collapse(work, _hook(edges))
         maps.append(roots)
-        ends = skew_lookup(edges, "a", roots.select(F.col("c").alias("ca"), F.col("p").alias("ra")), "ca", "inner").select("ra", "b")
-        ends = work.cut(ends)
-        out = skew_lookup(ends, "b", roots.select(F.col("c").alias("cb"), F.col("p").alias("rb")), "cb", "inner")
+        ends = skew_lookup(edges, "a", renamed(roots, "ca", "ra"), "ca", "inner").select("ra", "b")
+        if not fits_broadcast(roots):  # the second lookup reads its input more than once
+            ends = work.cut(ends)
+        out = skew_lookup(ends, "b", renamed(roots, "cb", "rb"), "cb", "inner")
         out = out.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        relabelled = work.cut(out)
+        relabelled = work.cut(out, n=F.count(F.lit(1)))
         work.drop(edges, ends)
         edges = relabelled
     if not maps:
@@ -48,11 +49,11 @@ def connected_groups(pairs: DataFrame, source: str, target: str) -> DataFrame:
     top = maps.pop()
     while maps:  # each map is a fraction of the one below it
         below = maps.pop()
-        joined = skew_lookup(below, "p", top.select(F.col("c").alias("cc"), F.col("p").alias("root")), "cc", "left")
-        merged = work.cut(joined.select("c", F.coalesce("root", "p").alias("p")))
+        joined = skew_lookup(below, "p", renamed(top, "cc", "root"), "cc", "left").select("c", F.coalesce("root", "p").alias("p"))
+        merged = work.cut(joined, **sizes_of(joined))
         work.drop(below, top)
         top = merged
-    return top.select(F.col("c").alias("member"), F.col("p").alias("group_name"))
+    return renamed(top, "member", "group_name")
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -63,15 +64,14 @@ def _hook(edges: DataFrame) -> DataFrame:
 
 def _collapse(work: Workspace, hooks: DataFrame) -> DataFrame:
     """Pointer doubling until every component points at its root."""
-    at = work.cut(hooks)
+    at = work.cut(hooks, **sizes_of(hooks))
     while True:
-        up = at.select(F.col("c").alias("q"), F.col("p").alias("g"))
         # a pair that chose each other: the smaller becomes a root
-        step = skew_lookup(at, "p", up, "q", "inner").select("c", F.when(F.col("g") == F.col("c"), F.least("c", "p")).otherwise(F.col("g")).alias("n"), (F.col("g") != F.col("p")).alias("moved"))
-        doubled = work.cut(step)
-        done = doubled.filter("moved").isEmpty()
+        step = skew_lookup(at, "p", renamed(at, "q", "g"), "q", "inner")
+        step = step.select("c", F.when(F.col("g") == F.col("c"), F.least("c", "p")).otherwise(F.col("g")).alias("n"), (F.col("g") != F.col("p")).alias("moved"))
+        doubled = work.cut(step, moves=F.count_if("moved"), **sizes_of(step.select("c", "n")))
         work.drop(at)
-        at = doubled.select("c", F.col("n").alias("p"))
-        at._work_path = doubled._work_path
-        if done:
+        at = renamed(doubled.select("c", "n"), "c", "p")
+        at._work_path, at._observed = doubled._work_path, doubled._observed
+        if not at._observed.get("moves", 0):
             return at

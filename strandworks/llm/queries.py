@@ -70,7 +70,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivor of every id by the latent quality model: values judged true, field by field."""
     truth, _ = latent_truth(_claims(spark, sf_dir))
-    return true_values(truth, ["text_unit_ids"])
+    return true_values(truth, ["text_unit_ids"], trust=table(spark, sf_dir, "kg_runs").select("run_id", "trust_rank"))
 
 
 @query

@@ -18,7 +18,7 @@ and run until they stand still; if they do not, that is an error. Quality is lea
 cover; a field covered by one source says nothing of it and is only judged by the result.
 
 Defined results: a value that is null or unusable is no claim; a row without a source counts
-as the source ``(none)``; repeated rows claim once; ties go to the smallest row number; where
+as the source ``(none)``; repeated rows claim once; ties of ``survivors`` go to the smallest row number; where
 no row of a group has a usable value the row number is 0; an empty table gives an empty
 result; further columns are not read. Hot groups are pre-aggregated before any shuffle.
 """
@@ -67,10 +67,10 @@ def survivors(df: DataFrame, group: str, row: str, preferences: list[Preference]
 
 
 def claims_of(df: DataFrame, group: str, source: str, fields: dict[str, Column]) -> DataFrame:
-    """``(grp, field, source, value)`` distinct; each field's expression gives an array of strings."""
+    """``(grp, field, source, value)``, repeats included; each field's expression gives an array of strings."""
     parts = [F.struct(F.lit(name).alias("field"), values.alias("values")) for name, values in fields.items()]
     t = df.select(F.col(group).alias("grp"), F.coalesce(F.col(source).cast("string"), F.lit("(none)")).alias("source"), F.explode(F.array(*parts)).alias("f"))
-    return t.select("grp", "source", "f.field", F.explode("f.values").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return t.select("grp", "source", "f.field", F.explode("f.values").alias("value")).filter(F.col("value").isNotNull())
 
 
 def _logit(x: np.ndarray) -> np.ndarray:
@@ -118,18 +118,19 @@ def fixed_point(step: Callable[[np.ndarray], tuple[np.ndarray, float]], start: n
 
 
 def latent_truth(claims: DataFrame, max_rounds: int = 20_000, tolerance: float = 1e-10, prior: float = 0.5, sensitivity_prior: tuple[float, float] = (5.0, 2.0), specificity_prior: tuple[float, float] = (18.0, 2.0), max_sources: int = 10_000, driver_entries: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Truth and quality: ``(grp, field, value, n_sources, truth)`` and ``(source, sensitivity, specificity)``.
+    """Truth and quality: ``(grp, field, value, stating, truth)`` and ``(source, sensitivity, specificity)``; ``stating``: a value's sources.
 
     The steps run until none moves a probability by ``tolerance``; raises if ``max_rounds`` steps do not suffice.
     """
     spark = claims.sparkSession
     work = Workspace(spark, "truth")
-    claims = work.cut(claims)
-    cover = claims.groupBy("grp", "field").agg(F.sort_array(F.collect_set("source")).alias("covering"))
-    values = claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("source")).alias("stating"))
+    # sources are bounded by max_sources, so the sets are; repeated claims vanish in them before the shuffle
+    values = work.cut(claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("source")).alias("stating")))
+    cover = values.select("grp", "field", F.explode("stating").alias("source")).groupBy("grp", "field").agg(F.sort_array(F.collect_set("source")).alias("covering"))
     facts = work.cut(values.join(cover, ["grp", "field"]).select("grp", "field", "value", "stating", F.array_except("covering", "stating").alias("silent")))
     patterns = facts.groupBy("stating", "silent").agg(F.count(F.lit(1)).alias("n"))
-    names = sorted(r.source for r in collect_bounded(claims.select("source").distinct(), max_sources, "sources"))
+    names = sorted(r.source for r in collect_bounded(values.select(F.explode("stating").alias("source")).distinct(), max_sources, "sources"))
+    work.drop(values)
     k = len(names)
     odds = math.log(prior / (1 - prior))
 
@@ -187,14 +188,27 @@ def latent_truth(claims: DataFrame, max_rounds: int = 20_000, tolerance: float =
     if size:
         x, rounds = fixed_point(driver_step if size <= driver_entries else spread_step, x, tolerance, max_rounds)
         _log.info("EM converged after %d steps", rounds)
-    truth = weighed(facts, x).select("grp", "field", "value", F.size("stating").alias("n_sources"), "truth")
+    truth = weighed(facts, x).select("grp", "field", "value", "stating", "truth")
     quality = spark.createDataFrame([(s, float(x[i]), float(x[k + i])) for i, s in enumerate(names)], "source string, sensitivity double, specificity double")
     return truth, quality
 
 
-def true_values(truth: DataFrame, multi_valued: list[str], threshold: float = 0.5) -> DataFrame:
-    """``(grp, field, values)``: all values judged true of a multi-valued field, the likeliest of any other."""
+def true_values(truth: DataFrame, multi_valued: list[str], threshold: float = 0.5, trust: DataFrame | None = None) -> DataFrame:
+    """``(grp, field, values)``: all values judged true of a multi-valued field, the likeliest of any other.
+
+    Values equally likely (to nine digits) are ranked by their most trusted source, if ``trust`` gives
+    ``(source, rank)`` with 1 as the best, then by their number of sources, then the greater number
+    wins, and of texts the greater text.
+    """
     multi = F.col("field").isin(multi_valued)
-    rank = F.max(F.when(~multi, F.struct("truth", F.col("value").alias("v")))).alias("best")
+    place = F.lit(0)
+    if trust is not None:
+        ranks = trust.select(F.coalesce(F.col(trust.columns[0]).cast("string"), F.lit("(none)")).alias("s"), F.col(trust.columns[1]).cast("int").alias("r"))
+        # one row: bounded by the number of sources
+        truth = truth.join(F.broadcast(ranks.agg(F.map_from_entries(F.collect_list(F.struct("s", "r"))).alias("_ranks"))))
+        last = F.lit(2**31 - 1)
+        place = -F.array_min(F.transform("stating", lambda s: F.coalesce(F.try_element_at("_ranks", s), last)))
+    order = F.struct(F.round("truth", 9).alias("t"), place.alias("p"), F.size("stating").alias("n"), F.coalesce(F.expr("try_cast(value AS DOUBLE)"), F.lit(float("-inf"))).alias("x"), F.col("value").alias("v"))
+    rank = F.max(F.when(~multi, order)).alias("best")
     kept = F.sort_array(F.collect_set(F.when(multi & (F.col("truth") >= threshold), F.col("value")))).alias("kept")
     return truth.groupBy("grp", "field").agg(rank, kept).select("grp", "field", F.when(multi, F.col("kept")).otherwise(F.array(F.col("best.v"))).alias("values"))

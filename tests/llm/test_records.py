@@ -73,6 +73,14 @@ def test_latent_truth(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_ties_of_single_values(spark):
+    rows = [("a", "w", "9.5", ["s1"], 0.5), ("a", "w", "10.2", ["s2"], 0.5), ("b", "w", "9.5", ["s1"], 0.5), ("b", "w", "10.2", ["s1"], 0.5), ("c", "w", "1", ["s2", "x"], 0.5), ("c", "w", "2", ["x"], 0.5), ("d", "w", "b", ["x"], 0.7), ("d", "w", "c", ["s1"], 0.6)]
+    truth = spark.createDataFrame(rows, "grp string, field string, value string, stating array<string>, truth double")
+    trust = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, rank int")
+    assert {r.grp: r["values"] for r in true_values(truth, [], trust=trust).collect()} == {"a": ["9.5"], "b": ["10.2"], "c": ["1"], "d": ["b"]}
+    assert {r.grp: r["values"] for r in true_values(truth, []).collect()} == {"a": ["10.2"], "b": ["10.2"], "c": ["1"], "d": ["b"]}
+
+
 def test_quality_is_bounded(spark):
     df = spark.createDataFrame([("g", "f", f"s{i}", "v") for i in range(5)], "grp string, field string, source string, value string")
     with pytest.raises(ValueError):
