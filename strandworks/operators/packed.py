@@ -8,8 +8,10 @@ on the grammar: quoted spans are one value, all else is cut at delimiters.
 
 Only entries that hold a delimiter, quote or bracket themselves need protection, so the
 dictionary is reduced to these before it is sent to the workers. Up to ``max_entries`` of
-them form one automaton; more are split into shards of bounded size, each searched by its
-own pass over the fields, and the passes' matches meet in one cover.
+them form one automaton; more are split into shards of bounded size, worked off one after the
+other: a shard is collected, broadcast, searched for in a pass of its own whose matches are
+written beside the fields, and given up before the next one, so that driver and workers never
+hold more than one. The passes' matches meet in one cover.
 
 Defined results: null, empty and delimiter-only fields give no row; unbalanced quotes are
 taken as delimiters at the ends of a value; repeated rows give repeated results; columns of
@@ -19,6 +21,7 @@ the input other than the key and the fields are not read.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import heapq
 import json
 import re
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.runtime import collect_bounded
+from strandworks.runtime import Workspace, collect_bounded
 
 DELIMITERS = ",;|/"
 BRACKETS = "[](){}"
@@ -167,8 +170,7 @@ def segment(text: str | None, matches: Sequence[tuple[int, int, str]] = ()) -> l
 
 def _automaton_of(key: str, values: Sequence[str]):
     if key not in _automata:
-        if len(_automata) > 8:
-            _automata.clear()
+        _automata.clear()  # a worker holds one at a time
         _automata[key] = build_automaton(values)
     return _automata[key]
 
@@ -206,25 +208,31 @@ def _cover():
 def split_packed(df: DataFrame, key: str, fields: Sequence[str], dictionary: DataFrame | None = None, max_entries: int = 100_000) -> DataFrame:
     """One row ``(key, field, pos, item)`` per value of each packed field; ``pos`` counts from 1.
 
-    ``dictionary``: one column of known values. The pass is narrow: no shuffle at any size.
+    ``dictionary``: one column of known values. Every pass is narrow: fields are never shuffled.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("packed")) for f in fields])).alias("_f")).select(key, "_f.field", "_f.packed")
     rows = rows.filter(F.col("packed").rlike(r"[^\s,;|/\[\](){}]"))
-    shards: list[list[str]] = [[]]
+    count, parts = 0, 1
     if dictionary is not None:
-        c = dictionary.columns[0]
-        protected = dictionary.select(F.col(c).cast("string").alias("v")).filter(F.col("v").rlike(SPECIAL_SQL)).distinct()
+        protected = dictionary.select(F.col(dictionary.columns[0]).cast("string").alias("v")).filter(F.col("v").rlike(SPECIAL_SQL)).distinct()
         count = protected.count()
         parts = max(1, -(-2 * count // max_entries) if count > max_entries else 1)
-        shards = [[r.v for r in collect_bounded(protected.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == k), max_entries, "dictionary shard")] for k in range(parts)]
-    shared = [spark.sparkContext.broadcast((str(hash(tuple(sorted(s)))), sorted(s))) for s in shards]
-    if len(shared) == 1:
-        items = _segmenter(shared[0])("packed")
+
+    def shard(k: int):
+        values = sorted(r.v for r in collect_bounded(protected.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == k), max_entries, "dictionary shard")) if count else []
+        return spark.sparkContext.broadcast((hashlib.sha256("\x1f".join(values).encode("utf-8", "surrogatepass")).hexdigest(), values))
+
+    if parts == 1:
+        items = _segmenter(shard(0))("packed")
     else:
-        names = []
-        for k, s in enumerate(shared):
-            rows = rows.withColumn(f"_m{k}", _finder(s)("packed"))
-            names.append(f"_m{k}")
-        items = _cover()("packed", F.concat(*names))
+        work = Workspace(spark, "packed")
+        rows = rows.withColumn("_m", F.array().cast("array<struct<s:int,e:int,v:string>>"))
+        for k in range(parts):
+            shared = shard(k)
+            done = work.cut(rows.withColumn("_m", F.concat("_m", _finder(shared)("packed"))))
+            work.drop(rows)
+            shared.destroy()
+            rows = done
+        items = _cover()("packed", "_m")
     return rows.select(key, "field", F.posexplode(items).alias("_p", "item")).select(key, "field", (F.col("_p") + 1).alias("pos"), "item")
