@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandworks.plans import eval_queries, extra_queries, kg_queries, misc_queries, packed_queries, qa_queries, source_queries, text_queries
+from strandworks.plans import array_queries, eval_queries, extra_queries, kg_queries, misc_queries, packed_queries, qa_queries, source_queries, text_queries
 
-MODULES = [packed_queries, kg_queries, eval_queries, qa_queries, text_queries, misc_queries, extra_queries, source_queries]
+MODULES = [packed_queries, kg_queries, eval_queries, qa_queries, text_queries, misc_queries, extra_queries, source_queries, array_queries]
 
 
 def queries() -> dict:
