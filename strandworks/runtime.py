@@ -10,6 +10,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,21 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end all tables written inside of it: results must be written or collected by then.
+
+    Without it, tables stay until the interpreter ends, as later plans may read them.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
+
+
 class Workspace:
     """Tables written below the shared folder; a write computes its plan once and cuts the lineage."""
 

@@ -21,3 +21,16 @@ def test_lookup_ways_agree(spark, monkeypatch):
 def test_trim(spark):
     text = " \t a b  \n"
     assert spark.createDataFrame([(text,)], "t string").select(R.trim_all(F.col("t"))).first()[0] == "a b"
+
+
+def test_scratch(spark):
+    import os
+
+    with R.scratch():
+        kept = R.Workspace(spark, "scratch").cut(spark.range(3), n=F.count(F.lit(1)))
+        path = kept._work_path.removeprefix("file:")
+        assert kept.count() == 3 and kept._observed == {"n": 3} and os.path.exists(path.replace("///", "/"))
+    assert not os.path.exists(path.replace("///", "/"))
+    t = R.Workspace(spark, "sizes")
+    written = t.cut(spark.range(5).select(F.lit("ab").alias("s")), **R.sizes_of(spark.range(5).select(F.lit("ab").alias("s"))))
+    assert written._observed == {"_rows": 5, "_bytes": 10} and R.fits_broadcast(written) and not R.fits_broadcast(written, rows=4) and not R.fits_broadcast(R.renamed(written, "x"), size=9)
