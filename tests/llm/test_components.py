@@ -41,3 +41,14 @@ def test_random(spark):
 
 def test_empty(spark):
     assert connected_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def test_above_the_broadcast_bound(spark, monkeypatch):
+    """Without any broadcast of maps the groups are the same, also with a hub."""
+    from strandworks import runtime
+    from strandworks.llm import components
+
+    for module in (runtime, components):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df: False)
+    r = random.Random(12)
+    check(spark, [(f"n{r.randrange(60):02d}", f"n{r.randrange(60):02d}") for _ in range(45)] + [("hub", f"h{i}") for i in range(80)])
