@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.runtime import Workspace, skew_lookup, trim_all
+from strandworks.runtime import Workspace, renamed, sizes_of, skew_lookup, trim_all
 
 #: Distance that stands for "unreachable" in dense matrices.
 UNREACHABLE = 510
@@ -41,8 +41,8 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int
         reached = e.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         # edges lead both ways, so a neighbour of a level lies on it, on the one before or on the next
         seen = frontier.select("node") if d == 1 else frontier.select("node").unionByName(levels[-2].select("node"))
-        frontier = work.cut(reached.join(seen, "node", "left_anti").withColumn("d", F.lit(d)))
-        if frontier.isEmpty():
+        frontier = work.cut(reached.join(seen, "node", "left_anti").withColumn("d", F.lit(d)), n=F.count(F.lit(1)))
+        if not frontier._observed.get("n", 0):
             break
         if max_rounds is not None and d > max_rounds:
             raise ValueError(f"hop distances: nodes further away than {max_rounds} hops; raise max_rounds")
@@ -50,17 +50,31 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, node: str, max_rounds: int
     found = levels[0]
     for x in levels[1:]:
         found = found.unionByName(x)
-    return work.cut(nodes.join(found, "node", "left").select("node", F.col("d").alias("hop_distance")))
+    out = nodes.join(found, "node", "left").select("node", F.col("d").alias("hop_distance"))
+    return work.cut(out, **sizes_of(out))
 
 
 def triple_hops(triples: DataFrame, distances: DataFrame) -> DataFrame:
-    """Each triple with the smaller distance of its ends; null if neither is reachable. Frequent names are not gathered."""
+    """Each triple with the smaller distance of its ends; null if neither is reachable. Frequent names are not gathered.
+
+    ``distances``: node and hop_distance.
+    """
     t = triples.withColumns({"_a": F.lower(trim_all(F.col("source"))), "_b": F.lower(trim_all(F.col("target")))})
-    t = skew_lookup(t, "_a", distances.select(F.col("node").alias("_x"), F.col("hop_distance").alias("_dx")), "_x")
-    t = skew_lookup(t, "_b", distances.select(F.col("node").alias("_y"), F.col("hop_distance").alias("_dy")), "_y")
+    t = skew_lookup(t, "_a", renamed(distances, "_x", "_dx"), "_x")
+    t = skew_lookup(t, "_b", renamed(distances, "_y", "_dy"), "_y")
     return t.withColumn("hop_distance", F.least("_dx", "_dy")).drop("_a", "_b", "_dx", "_dy")
 
 
+def within_hops(df: DataFrame, least: int, most: int, distance: str = "hop_distance") -> DataFrame:
+    """Rows whose distance is a whole number within the range."""
+    return df.filter(F.col(distance).cast("string").try_cast("int").between(least, most))
+
+
+def hop_histogram(df: DataFrame, distance: str = "hop_distance") -> DataFrame:
+    """Rows per distance; null counts the unreachable ones."""
+    return df.groupBy(distance).agg(F.count(F.lit(1)).alias("n"))
+
+
 def hubs(degrees: DataFrame, share: float = 0.01) -> DataFrame:
     """The names of highest degree: ``share`` of all, at least one; ties by name. A top-k, not a full sort."""
     n = degrees.count()

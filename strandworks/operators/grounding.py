@@ -69,6 +69,11 @@ def mentions(entities: DataFrame, units: DataFrame, whole_words: bool = False, t
     return out
 
 
+def first_mentions(found: DataFrame) -> DataFrame:
+    """``(entity, token_pos, snippet_id)``: the earliest place of every entity, ties by snippet."""
+    return found.groupBy("entity").agg(F.min(F.struct("token_pos", "snippet_id")).alias("m")).select("entity", "m.token_pos", "m.snippet_id")
+
+
 def ground(triples: DataFrame, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One row per triple and snippet that mentions both its ends; relations outside the vocabulary are skipped."""
     t = triples.join(vocabulary.select("relation", "relation_id"), "relation")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions.text import entity_key, norm_relation, split_ids
-from strandworks.runtime import Workspace, skew_lookup, trim_all
+from strandworks.runtime import Workspace, renamed, sizes_of, skew_lookup, trim_all
 
 
 def number(c: Column) -> Column:
@@ -169,13 +169,39 @@ def fuzzy_collapse(df: DataFrame, threshold: float = 0.90, closed: bool = False)
     work = Workspace(df.sparkSession, "fuzzy")
     df = work.cut(df)  # read several times below
     ends = df.select(F.explode(F.array("source", "target")).alias("n"))
-    canon = work.cut(canonical_names(ends, threshold, closed))
-    t = skew_lookup(df, "source", canon.select(F.col("name").alias("_sn"), F.col("canonical").alias("_s")), "_sn")
-    t = skew_lookup(t, "target", canon.select(F.col("name").alias("_tn"), F.col("canonical").alias("_t")), "_tn")
+    canon = canonical_names(ends, threshold, closed)
+    canon = work.cut(canon, **sizes_of(canon))
+    t = skew_lookup(df, "source", renamed(canon, "_sn", "_s"), "_sn")
+    t = skew_lookup(t, "target", renamed(canon, "_tn", "_t"), "_tn")
     t = t.withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")}).drop("_s", "_t", "n_rows")
     return collapse(t.withColumnRenamed("place", "_before"), {"s": F.col("source"), "t": F.col("target"), "r": F.col("relation")}, "_before")
 
 
+def whitelisted(df: DataFrame, vocabulary: DataFrame, relation: str = "relation") -> DataFrame:
+    """Rows whose relation, in normal form, is in the vocabulary; further columns of the vocabulary come along."""
+    v = vocabulary.dropDuplicates(["relation"])
+    v = v.select(F.col("relation").alias("_allowed"), *[c for c in v.columns if c != "relation"])
+    t = df.withColumn("_form", norm_relation(F.col(relation)))
+    return t.join(v, F.col("_form") == F.col("_allowed")).withColumn(relation, F.col("_form")).drop("_form", "_allowed")
+
+
+def union_of(tables: dict[str, DataFrame], columns: list[str], origin: str = "origin") -> DataFrame:
+    """Rows of several tables under one set of columns, each with its table's name."""
+    out = None
+    for name, t in tables.items():
+        t = t.select(*columns, F.lit(name).alias(origin))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def name_sets(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """Names at the ends of triples against a list of names: numbers of common ones and of those on one side only."""
+    t = triples.select(F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("_t", F.lit(1))
+    e = names.select(F.col(names.columns[0]).alias("name")).distinct().withColumn("_e", F.lit(1))
+    there = lambda c: F.col(c).isNotNull()
+    return t.join(e, "name", "full").agg(F.count_if(there("_t") & there("_e")).alias("both_sides"), F.count_if(~there("_e")).alias("only_triples"), F.count_if(~there("_t")).alias("only_entities"))
+
+
 def distinct_pairs(df: DataFrame) -> DataFrame:
     """Distinct (source, target) pairs per relation."""
     return df.groupBy("relation").agg(F.countDistinct("source", "target").alias("pairs"))
@@ -209,9 +235,10 @@ def combined_degrees(df: DataFrame) -> DataFrame:
     """Sum of both ends' degrees per distinct edge; ends of high degree are looked up without gathering their edges."""
     work = Workspace(df.sparkSession, "degrees")
     edges = work.cut(df.select("source", "target").distinct())
-    d = work.cut(edges.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("degree")))
-    t = skew_lookup(edges, "source", d.select(F.col("title").alias("_s"), F.col("degree").alias("ds")), "_s")
-    t = skew_lookup(t, "target", d.select(F.col("title").alias("_t"), F.col("degree").alias("dt")), "_t")
+    d = edges.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("degree"))
+    d = work.cut(d, **sizes_of(d))
+    t = skew_lookup(edges, "source", renamed(d, "_s", "ds"), "_s")
+    t = skew_lookup(t, "target", renamed(d, "_t", "dt"), "_t")
     return t.select("source", "target", (F.coalesce("ds", F.lit(0)) + F.coalesce("dt", F.lit(0))).alias("combined_degree"))
 
 

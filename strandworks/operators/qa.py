@@ -108,6 +108,18 @@ def combine(question: Column, explanation: Column, answer: Column) -> Column:
     return F.concat(question, F.lit("\n<Explanation>"), explanation, F.lit("</Explanation>\n<Answer>: "), answer, F.lit("</Answer>"))
 
 
+def separated(df: DataFrame, qae: str) -> DataFrame:
+    """Records with both answer tags, with the part before them and the answer's letter."""
+    c = F.col(qae)
+    t = df.filter(F.contains(c, F.lit("<Answer>")) & F.contains(c, F.lit("</Answer>")))
+    return t.withColumns({"question_part": trim_all(F.substring_index(c, "<Answer>", 1)), "answer": T.gold_answer(c)})
+
+
+def distinct_paths(df: DataFrame, paths: str, key: str) -> DataFrame:
+    """``(key, n)``: the first row of every distinct path and the number of its rows."""
+    return df.groupBy(paths).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")).select(key, "n")
+
+
 def path_text(paths: Column, arrow: bool = True) -> Column:
     """Steps as text: with arrows, or as (start, relation, end) list."""
     if arrow:

@@ -101,6 +101,12 @@ def relation_map_rows(df: DataFrame, key: str, column: str, allowed: list[str])
     return e.filter((F.col("head") != "") & (F.size("relations") > 0)).groupBy(key, "head").agg(F.max_by("relations", "pos").alias("relations"))
 
 
+def relation_rows(maps: DataFrame, key: str) -> DataFrame:
+    """One row per head and relation of ``relation_map_rows``, the first relation of each head marked."""
+    t = maps.select(key, "head", F.posexplode("relations").alias("p", "relation"))
+    return t.select(key, "head", "relation", (F.col("p") == 0).alias("is_first"))
+
+
 def has_relations(df: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:
     """``(key, has_relations)``: whether any head of the row's JSON object keeps an allowed relation."""
     kept = relation_map_rows(df, key, column, allowed).select(key).distinct().withColumn("_k", F.lit(True))
@@ -160,6 +166,18 @@ def salvaged():
     return rightmost_object
 
 
+def with_tails(df: DataFrame, tail: str = "tail") -> DataFrame:
+    """Rows whose tail holds more than blanks."""
+    return df.filter(F.length(F.trim(tail)) > 0)
+
+
+def unpacked_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, place, line)``: distinct trimmed lines of a text with their place from 1."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    t = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.array_distinct(lines)).alias("p", "line"))
+    return t.select(key, (F.col("p") + 1).alias("place"), "line")
+
+
 def explode_tails(df: DataFrame, tails: str) -> DataFrame:
     """One row per tail; rows without any keep one with an empty tail and the flag set."""
     t = df.withColumn("_t", F.explode_outer(tails))

@@ -10,6 +10,11 @@ def range_shard(ordinal: Column, rows: int) -> Column:
     return F.floor(ordinal / rows)
 
 
+def shard_count(df: DataFrame, rows: int) -> DataFrame:
+    """Number of shards of ``rows`` rows that a table needs."""
+    return df.agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("shards"))
+
+
 def modulo_shard(ordinal: Column, shards: int) -> Column:
     return F.pmod(ordinal, F.lit(shards))
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import text as T
 from strandworks.operators import evaluation as V
+from strandworks.operators import merge as M
 from strandworks.operators import qa as Q
+from strandworks.operators import records as P
 from strandworks.operators import sampling as S
 from strandworks.plans.kg_queries import _PLAIN_RELATION, _REL, _TRIM, COERCED, triples
 from strandworks.plans.qa_queries import _FIELDS, items, text_of
@@ -24,8 +26,7 @@ def query(f):
 @query
 def f5_allowed_predictions(spark, sf_dir):
     """Predictions whose relation, in normal form, is canonical, with the relation's number."""
-    p = table(spark, sf_dir, "predictions").select("row_no", T.norm_relation(F.col("relation")).alias("relation"))
-    return p.join(table(spark, sf_dir, "relation_map").select("relation", "relation_id"), "relation").select("row_no", "relation_id")
+    return M.whitelisted(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "relation_map").select("relation", "relation_id")).select("row_no", "relation_id")
 
 
 _P_RELATION = _REL.format("coalesce(p.relation, '')")
@@ -55,9 +56,7 @@ SQL["k12_shuffled_targets"] = "SELECT item_id, k_hops FROM eval_items WHERE k_ho
 @query
 def y3_unpacked_descriptions(spark, sf_dir):
     """Descriptions as distinct lines with their place."""
-    lines = F.filter(F.transform(F.split("description", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    t = table(spark, sf_dir, "final_entities").filter("description is not null").select("title", F.posexplode(F.array_distinct(lines)).alias("p", "line"))
-    return t.select("title", (F.col("p") + 1).alias("place"), "line")
+    return P.unpacked_lines(table(spark, sf_dir, "final_entities"), "title", "description")
 
 
 SQL["y3_unpacked_descriptions"] = """WITH l AS (SELECT title, unnest(list_filter(list_transform(string_split(description, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform(string_split(description, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), 1) AS i FROM final_entities WHERE description IS NOT NULL),
@@ -87,8 +86,7 @@ SQL["y9_item_ids"] = "SELECT CAST(item_id AS VARCHAR) AS id, k_hops FROM eval_it
 @query
 def n29_separated(spark, sf_dir):
     """Question part before the answer tag, for items that have both answer tags."""
-    t = items(spark, sf_dir).filter(F.contains(text_of(), F.lit("<Answer>")) & F.contains(text_of(), F.lit("</Answer>")))
-    return t.select("item_id", T.trim_all(F.substring_index(text_of(), "<Answer>", 1)).alias("question_part"), T.gold_answer(text_of()).alias("answer"))
+    return Q.separated(items(spark, sf_dir), "question_and_explanation").select("item_id", "question_part", "answer")
 
 
 SQL["n29_separated"] = "SELECT item_id, " + _TRIM.format("split_part(question_and_explanation, '<Answer>', 1)") + r" AS question_part, nullif(upper(regexp_extract(question_and_explanation, '(?i)<Answer>[:\s]*([A-D])[:\s]*</Answer>', 1)), '') AS answer FROM eval_items WHERE contains(question_and_explanation, '<Answer>') AND contains(question_and_explanation, '</Answer>')"
@@ -108,9 +106,9 @@ SQL["a22_verdicts"] = f"WITH {_FIELDS} SELECT item_id, CASE item_id % 3 WHEN 0 T
 @query
 def u2_union_of_shards(spark, sf_dir):
     """Triples of two tables under one set of names, counted per origin and relation."""
-    a = triples(spark, sf_dir).select("source", "relation", "target", F.lit("graph").alias("origin"))
-    b = table(spark, sf_dir, "predictions").select(F.col("head").alias("source"), T.norm_relation(F.col("relation")).alias("relation"), F.col("tail").alias("target"), F.lit("predicted").alias("origin"))
-    return a.unionByName(b).groupBy("origin", "relation").agg(F.count(F.lit(1)).alias("n"))
+    b = table(spark, sf_dir, "predictions").select(F.col("head").alias("source"), T.norm_relation(F.col("relation")).alias("relation"), F.col("tail").alias("target"))
+    both = M.union_of({"graph": triples(spark, sf_dir), "predicted": b}, ["source", "relation", "target"])
+    return both.groupBy("origin", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL["u2_union_of_shards"] = f"WITH {COERCED} SELECT 'graph' AS origin, relation, count(*) AS n FROM va GROUP BY 2 UNION ALL SELECT 'predicted', {_PLAIN_RELATION}, count(*) FROM predictions GROUP BY 2"

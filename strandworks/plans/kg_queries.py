@@ -167,7 +167,7 @@ SQL["a7_vocabulary_counts"] = f"WITH {COERCED} SELECT m.relation, count(va.h) AS
 def f4_whitelisted(spark, sf_dir):
     """Triples whose relation is in the vocabulary."""
     t = triples(spark, sf_dir)
-    return t.join(table(spark, sf_dir, "relation_map").select("relation"), "relation", "left_semi").select(F.col("ord.n").alias("h"), "source", "relation", "target")
+    return M.whitelisted(t, table(spark, sf_dir, "relation_map").select("relation")).select(F.col("ord.n").alias("h"), "source", "relation", "target")
 
 
 SQL["f4_whitelisted"] = f"WITH {COERCED} SELECT h, source, relation, target FROM va WHERE relation IN (SELECT relation FROM relation_map)"
@@ -289,7 +289,7 @@ SQL["g3_triple_hops"] = _BFS + " SELECT va.h, least(x.d, y.d) AS hop_distance FR
 @query
 def a9_hop_histogram(spark, sf_dir):
     """Triples per distance."""
-    return g3_triple_hops(spark, sf_dir).groupBy("hop_distance").agg(F.count(F.lit(1)).alias("n"))
+    return G.hop_histogram(g3_triple_hops(spark, sf_dir))
 
 
 SQL["a9_hop_histogram"] = _BFS + " SELECT least(x.d, y.d) AS hop_distance, count(*) AS n FROM va LEFT JOIN ds x ON x.node = lower(va.source) LEFT JOIN ds y ON y.node = lower(va.target) GROUP BY 1"
@@ -298,7 +298,7 @@ SQL["a9_hop_histogram"] = _BFS + " SELECT least(x.d, y.d) AS hop_distance, count
 @query
 def f8_hop_range(spark, sf_dir):
     """Triples at distances from 1 to 2."""
-    return g3_triple_hops(spark, sf_dir).filter(F.expr("try_cast(hop_distance AS INT) BETWEEN 1 AND 2"))
+    return G.within_hops(g3_triple_hops(spark, sf_dir), 1, 2)
 
 
 SQL["f8_hop_range"] = _BFS + " SELECT va.h, least(x.d, y.d) AS hop_distance FROM va LEFT JOIN ds x ON x.node = lower(va.source) LEFT JOIN ds y ON y.node = lower(va.target) WHERE least(x.d, y.d) BETWEEN 1 AND 2"
@@ -362,7 +362,7 @@ SQL["k14_shards"] = "SELECT CAST(floor(human_readable_id / 8000) AS BIGINT) AS r
 @query
 def a8_shard_count(spark, sf_dir):
     """Number of shards that the text units need."""
-    return table(spark, sf_dir, "text_units").agg(F.ceil(F.count(F.lit(1)) / 8000).cast("bigint").alias("shards"))
+    return S.shard_count(table(spark, sf_dir, "text_units"), 8000)
 
 
 SQL["a8_shard_count"] = "SELECT CAST(ceil(count(*) / 8000) AS BIGINT) AS shards FROM text_units"

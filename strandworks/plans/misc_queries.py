@@ -13,6 +13,7 @@ from strandworks.operators import grounding as R
 from strandworks.operators import qa as Q
 from strandworks.operators import records as P
 from strandworks.operators import sampling as S
+from strandworks.operators.merge import name_sets
 from strandworks.plans.kg_queries import _DEG, _TRIM, COERCED, triples
 from strandworks.plans.qa_queries import _COMP, _FIELDS, _UNIFORM, _completions, items, text_of
 from strandworks.plans.text_queries import _MENTIONS, found
@@ -236,9 +237,8 @@ SQL["k15_checkpoints"] = "SELECT 'checkpoint-' || (run_id * 10) AS name, run_id
 @query
 def j7_head_positions(spark, sf_dir):
     """Predictions with the first place of their head in the text units of the same words."""
-    first = found(spark, sf_dir).groupBy("entity").agg(F.min(F.struct("token_pos", "snippet_id")).alias("m"))
     p = table(spark, sf_dir, "predictions").select("row_no", F.lower("head").alias("entity"))
-    return p.join(first, "entity").select("row_no", "m.token_pos", "m.snippet_id")
+    return p.join(R.first_mentions(found(spark, sf_dir)), "entity").select("row_no", "token_pos", "snippet_id")
 
 
 SQL["j7_head_positions"] = f"WITH {_MENTIONS}, f AS (SELECT entity, token_pos, snippet_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY token_pos, snippet_id) AS k FROM me) WHERE k = 1) SELECT row_no, token_pos, snippet_id FROM predictions JOIN f ON f.entity = lower(head)"
@@ -257,9 +257,7 @@ SQL["j11_remaining"] = "SELECT item_id FROM eval_items WHERE NOT k_hops <= 2"
 @query
 def u3_name_sets(spark, sf_dir):
     """Names in triples and among entities: common, only in triples, only among entities."""
-    t = triples(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("in_triples", F.lit(1))
-    e = table(spark, sf_dir, "final_entities").select(F.lower("title").alias("name")).distinct().withColumn("in_entities", F.lit(1))
-    return t.join(e, "name", "full").agg(F.count_if(F.col("in_triples").isNotNull() & F.col("in_entities").isNotNull()).alias("both_sides"), F.count_if(F.col("in_entities").isNull()).alias("only_triples"), F.count_if(F.col("in_triples").isNull()).alias("only_entities"))
+    return name_sets(triples(spark, sf_dir), table(spark, sf_dir, "final_entities").select(F.lower("title").alias("name")))
 
 
 SQL["u3_name_sets"] = f"WITH {COERCED}, t AS (SELECT source AS name FROM va UNION SELECT target FROM va), e AS (SELECT DISTINCT lower(title) AS name FROM final_entities) SELECT count(*) FILTER (t.name IS NOT NULL AND e.name IS NOT NULL) AS both_sides, count(*) FILTER (e.name IS NULL) AS only_triples, count(*) FILTER (t.name IS NULL) AS only_entities FROM t FULL JOIN e ON t.name = e.name"

@@ -121,8 +121,7 @@ SQL["n35_path_validity"] = "SELECT item_id, CASE WHEN len(paths) <= 2 OR length(
 @query
 def dd5_distinct_paths(spark, sf_dir):
     """First item of every distinct path."""
-    t = items(spark, sf_dir).select("item_id", "paths")
-    return t.groupBy("paths").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n")).select("item_id", "n")
+    return Q.distinct_paths(items(spark, sf_dir), "paths", "item_id")
 
 
 SQL["dd5_distinct_paths"] = "SELECT min(item_id) AS item_id, count(*) AS n FROM eval_items GROUP BY paths"

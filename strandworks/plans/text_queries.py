@@ -150,7 +150,7 @@ def r2_relation_rows(spark, sf_dir):
     """Head and relation rows with the first relation of each head marked."""
     names = vocabulary(spark, sf_dir)
     t = P.relation_map_rows(relation_json(spark, sf_dir), "id", "relations_json", names)
-    return t.select("id", "head", F.posexplode("relations").alias("p", "relation")).select("id", "head", "relation", (F.col("p") == 0).alias("is_first"))
+    return P.relation_rows(t, "id")
 
 
 SQL["r2_relation_rows"] = SQL["r1_relation_maps"].replace("SELECT id, lh AS head, array_to_string(rels, ',') AS relations FROM y", "SELECT id, lh AS head, unnest(rels) AS relation, generate_subscripts(rels, 1) = 1 AS is_first FROM y")
@@ -213,8 +213,7 @@ SQL["y2_lenient_json"] = "SELECT DISTINCT id, CAST(right(id, 3) AS INT) % 7 <> 6
 @query
 def f7_tails(spark, sf_dir):
     """Predictions with a tail, normalised."""
-    t = table(spark, sf_dir, "predictions").filter(F.length(F.trim("tail")) > 0)
-    return t.select("row_no", T.normalize_tail(F.col("tail")).alias("tail"))
+    return P.with_tails(table(spark, sf_dir, "predictions")).select("row_no", T.normalize_tail(F.col("tail")).alias("tail"))
 
 
 SQL["f7_tails"] = r"""WITH c AS (SELECT row_no, regexp_replace(regexp_replace(tail, '\s+', ' ', 'g'), '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS t FROM predictions WHERE length(trim(tail, ' ')) > 0)
