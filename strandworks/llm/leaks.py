@@ -23,6 +23,7 @@ decoded first, soft hyphens vanish, tags and all other characters separate.
 Defined results: null, blank and word-less texts hold nothing; items of fewer words than the
 span leak nowhere; items with the same text leak nowhere, as each stands in the other;
 repeated texts are reported each under its own key; columns but key and text are not read;
+items without key or text are left out, of several under one key the smallest text counts;
 a query set beyond ``max_words`` is an error.
 """
 
@@ -246,7 +247,8 @@ def _search(shared, rows: int = 256):
 
 def query_set(items: DataFrame, key: str, text: str, max_words: int) -> tuple[list[int], list[list[str]]]:
     """Keys and words of the items, in the order of their keys; an error beyond ``max_words``."""
-    q = items.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null").dropDuplicates(["key"])
+    q = items.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null")
+    q = q.groupBy("key").agg(F.min("text").alias("text"))
     keys, words, held = [], [], 0
     for r in q.orderBy("key").toLocalIterator():
         keys.append(r.key)

@@ -139,3 +139,9 @@ def test_substitutions_in_shared_wording(spark):
 
 def test_words():
     assert words_of("It&#39;s <b>re\xadmade</b>&nbsp;x_y p<3 É") == ["it", "s", "remade", "x", "y", "p", "3", "é"]
+
+
+def test_repeated_and_missing_keys(spark):
+    q = spark.createDataFrame([(5, "b1 b2 b3 b4 b5 b6 b7 b8"), (5, "a1 a2 a3 a4 a5 a6 a7 a8"), (None, "c1 c2 c3 c4 c5 c6 c7 c8")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7 a8 c1 c2 c3 c4 c5 c6 c7 c8 b1 b2 b3 b4 b5 b6 b7 b8")], "doc_id bigint, text string")
+    assert [(r.item_id, r.doc_id, r.at_word) for r in find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()] == [(5, 1, 0)]
