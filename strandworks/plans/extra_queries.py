@@ -75,12 +75,14 @@ SQL["y4_fact_prompts"] = "SELECT row_no, 'Is this true? ' || concat_ws(' | ', he
 
 @query
 def y9_item_ids(spark, sf_dir):
-    """Id of every item, from the first id column there is."""
-    t = items(spark, sf_dir).select("item_id", "k_hops").withColumn("n", F.col("item_id"))
-    return t.select(V.item_id(t, "n").alias("id"), "k_hops")
+    """Id of every item: from the first id column that has one, else by its number."""
+    d = F.col("item_id") % 4
+    some = lambda k, prefix: F.when(d == k, F.concat(F.lit(prefix), F.col("item_id")))
+    t = items(spark, sf_dir).select(F.col("item_id").alias("n"), "k_hops", some(0, "a").alias("id"), F.when(d <= 1, F.concat(F.lit("q"), "item_id")).alias("question_id"), some(2, "x").alias("index"))
+    return t.select("n", V.item_id(t, "n").alias("id"), "k_hops")
 
 
-SQL["y9_item_ids"] = "SELECT CAST(item_id AS VARCHAR) AS id, k_hops FROM eval_items"
+SQL["y9_item_ids"] = "SELECT item_id AS n, CASE item_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'q' WHEN 2 THEN 'x' ELSE 'item_' END || item_id AS id, k_hops FROM eval_items"
 
 
 @query

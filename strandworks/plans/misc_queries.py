@@ -390,3 +390,17 @@ def g4_sampled_paths(spark, sf_dir):
 
     t = triples(spark, sf_dir)
     return G.sampled_paths(t, _seeds(spark, sf_dir), 3, "stores", G.hubs(degrees(t)).select("title")).select("start", "hop1", "hop2", "hop3", "end")
+
+
+@query
+def g4_path_starts(spark, sf_dir):
+    """The well-connected entities that any path of three hops begins at."""
+    return g4_sampled_paths(spark, sf_dir).select("start")
+
+
+SQL["g4_path_starts"] = f"""WITH {COERCED}, {_DEG}, hb AS (SELECT title FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, title) AS r, count(*) OVER () AS n FROM dg) WHERE r <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))),
+ed3 AS (SELECT DISTINCT source, relation, target FROM va), e AS (SELECT source, target, CAST(relation = 'stores' AS INT) + CAST(target IN (SELECT title FROM hb) AS INT) AS cost FROM ed3), f AS (SELECT source, target, min(cost) AS cost FROM e GROUP BY 1, 2),
+s AS (SELECT DISTINCT lower(title) AS title FROM final_entities WHERE degree >= 10)
+SELECT DISTINCT a.source AS start FROM f a JOIN s ON s.title = a.source JOIN f b ON b.source = a.target JOIN f d ON d.source = b.target
+WHERE b.target <> a.source AND d.target NOT IN (a.source, a.target) AND CAST(a.source IN (SELECT title FROM hb) AS INT) + a.cost + b.cost + d.cost <= 1
+AND NOT EXISTS (SELECT 1 FROM f n WHERE n.source = a.source AND n.target = b.target) AND NOT EXISTS (SELECT 1 FROM f n WHERE n.source = a.source AND n.target = d.target)"""
