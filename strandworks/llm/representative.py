@@ -125,12 +125,12 @@ def latent_truth(claims: DataFrame, max_rounds: int = 20_000, tolerance: float =
     spark = claims.sparkSession
     work = Workspace(spark, "truth")
     # sources are bounded by max_sources, so the sets are; repeated claims vanish in them before the shuffle
-    values = work.cut(claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("source")).alias("stating")))
+    # both uses of the values share one shuffle
+    values = claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("source")).alias("stating"))
     cover = values.select("grp", "field", F.explode("stating").alias("source")).groupBy("grp", "field").agg(F.sort_array(F.collect_set("source")).alias("covering"))
     facts = work.cut(values.join(cover, ["grp", "field"]).select("grp", "field", "value", "stating", F.array_except("covering", "stating").alias("silent")))
     patterns = facts.groupBy("stating", "silent").agg(F.count(F.lit(1)).alias("n"))
-    names = sorted(r.source for r in collect_bounded(values.select(F.explode("stating").alias("source")).distinct(), max_sources, "sources"))
-    work.drop(values)
+    names = sorted(r.source for r in collect_bounded(facts.select(F.explode("stating").alias("source")).distinct(), max_sources, "sources"))
     k = len(names)
     odds = math.log(prior / (1 - prior))
 
