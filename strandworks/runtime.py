@@ -88,7 +88,7 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/{self.n}"
         seen = Observation(f"{uuid.uuid4().hex}")
-        (df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df).write.parquet(path)
+        (df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df).write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._work_path = path
         kept._observed = seen.get if observed else {}
