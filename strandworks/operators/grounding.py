@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import tokens as K
-from strandworks.runtime import Workspace, collect_bounded, spread, trim_all
+from strandworks.runtime import Workspace, collect_bounded, fits_broadcast, sizes_of, spread, trim_all
 
 ROOTS, LEAVES, TOKENS_PER_LEAF, NODES = 512, 512, 3, 2048
 #: Positions are capped at the last slot of a snippet; lengths of heads too.
@@ -159,20 +159,24 @@ def training_samples(grounded: DataFrame, units: DataFrame, id_column: str, text
 def token_chunks(df: DataFrame, batch: str, ordinal: str, ids: str, size: int, first: int = 101, last: int = 102) -> DataFrame:
     """Ids of a batch joined in order and cut into chunks of ``size`` with two marks.
 
-    The rest is dropped once a batch fills a chunk; a shorter batch is one short chunk. No batch is
-    gathered: rows are range-partitioned, each learns how many ids stand before it, and sends a slice
-    to every chunk it reaches into.
+    The rest is dropped once a batch fills a chunk; a shorter batch is one short chunk. Ids are computed
+    once, as they are written. No batch is gathered: sizes alone are range-partitioned, each row learns
+    how many ids stand before it, and sends a slice to every chunk it reaches into.
     """
     body = size - 2
     work = Workspace(df.sparkSession, "chunks")
-    t = df.select(F.col(batch).alias("_b"), F.col(ordinal).alias("_o"), F.col(ids).alias("_ids"), F.size(ids).alias("_n")).filter("_n > 0")
-    t = work.cut(t.repartitionByRange("_b", "_o").sortWithinPartitions("_b", "_o").withColumn("_p", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    sizes = t.groupBy("_b", "_p").agg(F.sum("_n").alias("_s"))  # one row per batch and partition it reaches into
+    t = df.select(F.col(batch).alias("_b"), F.col(ordinal).alias("_o"), F.col(ids).alias("_ids"), F.size(ids).alias("_n"), F.monotonically_increasing_id().alias("_id"))
+    t = work.cut(t).filter("_n > 0")  # behind the write, as a filter before it computes the ids again
+    n = work.cut(t.select("_b", "_o", "_id", "_n").repartitionByRange("_b", "_o", "_id").withColumn("_p", F.spark_partition_id()))
+    sizes = n.groupBy("_b", "_p").agg(F.sum("_n").alias("_s"))  # one row per batch and partition it reaches into
     by_batch = Window.partitionBy("_b").orderBy("_p")
-    sizes = sizes.select("_b", "_p", (F.sum("_s").over(by_batch) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_b")).alias("_all"))
-    inside = F.sum("_n").over(Window.partitionBy("_p", "_b").orderBy("_row")) - F.col("_n")
-    t = t.withColumn("_at", inside).join(sizes, ["_b", "_p"]).withColumn("_at", F.col("_at") + F.col("_before"))
-    t = t.withColumn("_used", F.when(F.col("_all") >= body, F.floor(F.col("_all") / body) * body).otherwise(F.col("_all"))).filter("_at < _used")
+    sizes = sizes.select(F.col("_b").alias("_sb"), F.col("_p").alias("_sp"), (F.sum("_s").over(by_batch) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_b")).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy("_p", "_b").orderBy("_o", "_id")) - F.col("_n")
+    at = n.withColumn("_at", inside).join(sizes, F.col("_b").eqNullSafe(F.col("_sb")) & (F.col("_p") == F.col("_sp"))).withColumn("_at", F.col("_at") + F.col("_before"))
+    at = at.withColumn("_used", F.when(F.col("_all") >= body, F.floor(F.col("_all") / body) * body).otherwise(F.col("_all"))).filter("_at < _used").select("_id", "_at", "_used")
+    at = work.cut(at, **sizes_of(at))
+    work.drop(n)
+    t = t.join(F.broadcast(at) if fits_broadcast(at) else at, "_id")
     end = F.least(F.col("_at") + F.col("_n"), F.col("_used"))
     t = t.select("_b", "_at", "_ids", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_at") / body), F.floor((end - 1) / body))).alias("chunk"))
     lo, hi = F.greatest(F.col("_at"), F.col("chunk") * body), F.least(F.col("_end"), (F.col("chunk") + 1) * body)

@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandworks.operators import evaluation as V
@@ -156,6 +157,56 @@ def test_chunks_of_a_hot_batch(spark):
     assert R.token_chunks(df.limit(0), "b", "o", "ids", 16).count() == 0
 
 
+def test_chunks_compute_ids_once(spark):
+    """Ids are computed once a row, and a batch without a name is cut as well."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<int>")
+    def ids(n: pd.Series) -> pd.Series:
+        calls.add(len(n))
+        return n.map(lambda x: list(range(x)))
+
+    df = spark.createDataFrame([("a", 1, 5), (None, 0, 3), ("a", 0, 4), (None, 1, 6), ("b", 0, 0)], "b string, o int, n int")
+    got = {(r.b, r.chunk): r.input_ids for r in R.token_chunks(df.select("b", "o", ids("n").alias("ids")), "b", "o", "ids", 6, 8, 9).collect()}
+    assert got == {("a", 0): [8, 0, 1, 2, 3, 9], ("a", 1): [8, 0, 1, 2, 3, 9], (None, 0): [8, 0, 1, 2, 0, 9], (None, 1): [8, 1, 2, 3, 4, 9]}
+    assert calls.value == 5
+
+
+def test_chunks_beyond_a_broadcast(spark, monkeypatch):
+    """Places too many to be broadcast are joined by a shuffle."""
+    monkeypatch.setattr(R, "fits_broadcast", lambda t: False)
+    df = spark.createDataFrame([("a", i % 2, i, [i] * 3) for i in range(40)], "b string, h int, o int, ids array<int>")
+    got = {(r.h, r.chunk): r.input_ids[1:-1] for r in R.token_chunks(df, "h", "o", "ids", 6).collect()}
+    want = {h: [i for i in range(h, 40, 2) for _ in range(3)] for h in (0, 1)}
+    assert got == {(h, k): v[k * 4 : k * 4 + 4] for h, v in want.items() for k in range(15)}
+
+
+def test_encodings_are_not_kept(monkeypatch):
+    """Of a batch of texts, one encoding stands in memory at a time."""
+    from strandworks.functions import tokens as K
+
+    alive, most = set(), []
+
+    class Encoding:
+        def __init__(self, text):
+            self.ids = [len(text), 1]
+            alive.add(id(self))
+            most.append(len(alive))
+
+        def __del__(self):
+            alive.discard(id(self))
+
+    class Tokenizer:
+        def encode_batch(self, texts, add_special_tokens):
+            return [Encoding(x) for x in texts]
+
+        encode_batch_fast = encode_batch
+
+    monkeypatch.setitem(K._loaded, "counted", Tokenizer())
+    got = [list(x) for part in K.token_ids("counted").func(iter([pd.Series(["ab", None] * 50)])) for x in part]
+    assert got == [[2, 1], [0, 1]] * 50 and max(most) <= 2
+
+
 def test_training_samples(spark):
     from strandworks.functions import tokens as K
 
