@@ -10,9 +10,10 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandworks.functions import tokens as K
-from strandworks.runtime import Workspace, collect_bounded, fits_broadcast, sizes_of, spread, trim_all
+from strandworks.runtime import HEAVY_SHARE, Workspace, collect_bounded, fits_broadcast, sizes_of, spread, trim_all
 
 ROOTS, LEAVES, TOKENS_PER_LEAF, NODES = 512, 512, 3, 2048
 #: Positions are capped at the last slot of a snippet; lengths of heads too.
@@ -156,34 +157,57 @@ def training_samples(grounded: DataFrame, units: DataFrame, id_column: str, text
     )
 
 
-def token_chunks(df: DataFrame, batch: str, ordinal: str, ids: str, size: int, first: int = 101, last: int = 102) -> DataFrame:
+def token_chunks(df: DataFrame, batch: str, ordinal: str, ids: str, size: int, first: int = 101, last: int = 102, heavy: int = 1_000_000) -> DataFrame:
     """Ids of a batch joined in order and cut into chunks of ``size`` with two marks.
 
     The rest is dropped once a batch fills a chunk; a shorter batch is one short chunk. Ids are computed
-    once, as they are written. No batch is gathered: sizes alone are range-partitioned, each row learns
-    how many ids stand before it, and sends a slice to every chunk it reaches into.
+    once, as they are written. A batch of more than ``heavy`` ids and more than 1/500 of all is not
+    gathered: its sizes alone are range-partitioned, each row learns how many ids stand before it, and
+    sends a slice to every chunk it reaches into. Other batches are shuffled once and cut where they are.
     """
     body = size - 2
     work = Workspace(df.sparkSession, "chunks")
     t = df.select(F.col(batch).alias("_b"), F.col(ordinal).alias("_o"), F.col(ids).alias("_ids"), F.size(ids).alias("_n"), F.monotonically_increasing_id().alias("_id"))
     t = work.cut(t).filter("_n > 0")  # behind the write, as a filter before it computes the ids again
+    sums = t.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    least = sums.agg(F.greatest(F.sum("_s") * F.lit(HEAVY_SHARE), F.lit(float(heavy))).alias("_least"))
+    hot = collect_bounded(sums.join(F.broadcast(least), F.col("_s") > F.col("_least")).select("_b"), int(1 / HEAVY_SHARE), "heavy batches")
+    in_order = Window.partitionBy("_b").orderBy("_o", "_id")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = lambda x: x.withColumn("_at", F.sum("_n").over(in_order) - F.col("_n")).withColumn("_all", F.sum("_n").over(whole))
+    if not hot:
+        out = _chunks(placed(t), body)
+    else:
+        keys = F.broadcast(df.sparkSession.createDataFrame([(r[0],) for r in hot], T.StructType([T.StructField("_hot", t.schema["_b"].dataType)])))
+        is_hot = F.col("_b").eqNullSafe(F.col("_hot"))
+        heavy_rows = t.join(keys, is_hot, "left_semi")
+        at = _places(work, heavy_rows)
+        out = _chunks(placed(t.join(keys, is_hot, "left_anti")), body).unionByName(_chunks(heavy_rows.join(F.broadcast(at) if fits_broadcast(at) else at, "_id"), body))
+    return out.select(F.col("_b").alias(batch), F.col("chunk").cast("int").alias("chunk"), F.concat(F.array(F.lit(first)), "_body", F.array(F.lit(last))).alias("input_ids"))
+
+
+def _places(work: Workspace, t: DataFrame) -> DataFrame:
+    """``(_id, _at, _all)``: ids of the batch before a row and altogether, without gathering a batch."""
     n = work.cut(t.select("_b", "_o", "_id", "_n").repartitionByRange("_b", "_o", "_id").withColumn("_p", F.spark_partition_id()))
     sizes = n.groupBy("_b", "_p").agg(F.sum("_n").alias("_s"))  # one row per batch and partition it reaches into
     by_batch = Window.partitionBy("_b").orderBy("_p")
     sizes = sizes.select(F.col("_b").alias("_sb"), F.col("_p").alias("_sp"), (F.sum("_s").over(by_batch) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_b")).alias("_all"))
     inside = F.sum("_n").over(Window.partitionBy("_p", "_b").orderBy("_o", "_id")) - F.col("_n")
-    at = n.withColumn("_at", inside).join(sizes, F.col("_b").eqNullSafe(F.col("_sb")) & (F.col("_p") == F.col("_sp"))).withColumn("_at", F.col("_at") + F.col("_before"))
-    at = at.withColumn("_used", F.when(F.col("_all") >= body, F.floor(F.col("_all") / body) * body).otherwise(F.col("_all"))).filter("_at < _used").select("_id", "_at", "_used")
+    at = n.withColumn("_at", inside).join(sizes, F.col("_b").eqNullSafe(F.col("_sb")) & (F.col("_p") == F.col("_sp"))).select("_id", (F.col("_at") + F.col("_before")).alias("_at"), "_all")
     at = work.cut(at, **sizes_of(at))
     work.drop(n)
-    t = t.join(F.broadcast(at) if fits_broadcast(at) else at, "_id")
+    return at
+
+
+def _chunks(t: DataFrame, body: int) -> DataFrame:
+    """``(_b, chunk, _body)`` of rows that know their place in the batch."""
+    t = t.withColumn("_used", F.when(F.col("_all") >= body, F.floor(F.col("_all") / body) * body).otherwise(F.col("_all"))).filter("_at < _used")
     end = F.least(F.col("_at") + F.col("_n"), F.col("_used"))
     t = t.select("_b", "_at", "_ids", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_at") / body), F.floor((end - 1) / body))).alias("chunk"))
     lo, hi = F.greatest(F.col("_at"), F.col("chunk") * body), F.least(F.col("_end"), (F.col("chunk") + 1) * body)
     t = t.select("_b", "chunk", F.struct(lo.alias("lo"), F.slice("_ids", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part")).alias("piece"))
     joined = F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["part"]))
-    out = t.groupBy("_b", "chunk").agg(joined.alias("_body"))
-    return out.select(F.col("_b").alias(batch), F.col("chunk").cast("int").alias("chunk"), F.concat(F.array(F.lit(first)), "_body", F.array(F.lit(last))).alias("input_ids"))
+    return t.groupBy("_b", "chunk").agg(joined.alias("_body"))
 
 
 def masked(ids: Column, key: Column, mask_id: int, vocabulary: int, probability: float = 0.15, seed: int = 7) -> Column:

@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strandworks.operators import evaluation as V
@@ -157,7 +158,8 @@ def test_chunks_of_a_hot_batch(spark):
     assert R.token_chunks(df.limit(0), "b", "o", "ids", 16).count() == 0
 
 
-def test_chunks_compute_ids_once(spark):
+@pytest.mark.parametrize("heavy", [0, 1_000_000])
+def test_chunks_compute_ids_once(spark, heavy):
     """Ids are computed once a row, and a batch without a name is cut as well."""
     calls = spark.sparkContext.accumulator(0)
 
@@ -167,18 +169,20 @@ def test_chunks_compute_ids_once(spark):
         return n.map(lambda x: list(range(x)))
 
     df = spark.createDataFrame([("a", 1, 5), (None, 0, 3), ("a", 0, 4), (None, 1, 6), ("b", 0, 0)], "b string, o int, n int")
-    got = {(r.b, r.chunk): r.input_ids for r in R.token_chunks(df.select("b", "o", ids("n").alias("ids")), "b", "o", "ids", 6, 8, 9).collect()}
+    got = {(r.b, r.chunk): r.input_ids for r in R.token_chunks(df.select("b", "o", ids("n").alias("ids")), "b", "o", "ids", 6, 8, 9, heavy=heavy).collect()}
     assert got == {("a", 0): [8, 0, 1, 2, 3, 9], ("a", 1): [8, 0, 1, 2, 3, 9], (None, 0): [8, 0, 1, 2, 0, 9], (None, 1): [8, 1, 2, 3, 4, 9]}
     assert calls.value == 5
 
 
-def test_chunks_beyond_a_broadcast(spark, monkeypatch):
-    """Places too many to be broadcast are joined by a shuffle."""
-    monkeypatch.setattr(R, "fits_broadcast", lambda t: False)
-    df = spark.createDataFrame([("a", i % 2, i, [i] * 3) for i in range(40)], "b string, h int, o int, ids array<int>")
-    got = {(r.h, r.chunk): r.input_ids[1:-1] for r in R.token_chunks(df, "h", "o", "ids", 6).collect()}
-    want = {h: [i for i in range(h, 40, 2) for _ in range(3)] for h in (0, 1)}
-    assert got == {(h, k): v[k * 4 : k * 4 + 4] for h, v in want.items() for k in range(15)}
+@pytest.mark.parametrize("fits", [False, True])
+def test_chunks_of_heavy_batches(spark, monkeypatch, fits):
+    """Heavy batches and others side by side; places of heavy rows are joined with and without a broadcast."""
+    monkeypatch.setattr(R, "fits_broadcast", lambda t: fits)
+    df = spark.createDataFrame([(i % 2 if i < 40 else None if i < 60 else i, i, [i] * 3) for i in range(64)], "h int, o int, ids array<int>").repartition(5)
+    got = {(r.h, r.chunk): r.input_ids[1:-1] for r in R.token_chunks(df, "h", "o", "ids", 6, heavy=20).collect()}
+    want = {h: [i for i in range(h, 40, 2) for _ in range(3)] for h in (0, 1)} | {None: [i for i in range(40, 60) for _ in range(3)]}
+    assert got == {(h, k): v[k * 4 : k * 4 + 4] for h, v in want.items() for k in range(15)} | {(h, 0): [h] * 3 for h in range(60, 64)}
+    assert R.token_chunks(df.limit(0), "h", "o", "ids", 6, heavy=0).count() == 0
 
 
 def test_encodings_are_not_kept(monkeypatch):
